@@ -70,15 +70,18 @@ def term_counts(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, heavy: list
     rows = tokens.where("text_id is not null and tok_id is not null").select("text_id", "tok_id", *fields)
     heavy = heavy_terms(rows, fields) if heavy is None else heavy
     hot = hot_texts(rows) if hot is None else hot
-    part = F.when(F.col("text_id").isin(hot), F.pmod(F.xxhash64("tok_id"), F.lit(HOT_PARTS))).otherwise(-1) if hot else F.lit(-1)
-    placed = rows.withColumn("part", part.cast("int")).repartition("text_id", "part")
-    once = placed.groupBy("text_id", "part", "tok_id", *fields).agg(F.lit(1).alias("one"))
+    if hot:
+        part = F.when(F.col("text_id").isin(hot), F.pmod(F.xxhash64("tok_id"), F.lit(HOT_PARTS))).otherwise(-1)
+        rows, key = rows.withColumn("part", part.cast("int")), ["text_id", "part"]
+    else:  # a constant part would be taken out of the groups, and their partitioning with it
+        key = ["text_id"]
+    once = rows.repartition(*key).groupBy(*key, "tok_id", *fields).agg(F.lit(1).alias("one"))
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields])
-    flat = once.select("text_id", "part", F.inline(pairs)).where("term is not null and term <> ''")
-    per_text = flat.groupBy("text_id", "part", "field_name", "term").agg(F.count("*").alias("n"))
+    flat = once.select(*key, F.inline(pairs)).where("term is not null and term <> ''")
+    per_text = flat.groupBy(*key, "field_name", "term").agg(F.count("*").alias("n"))
 
     merge = [F.sum("n_tokens").alias("n_tokens"), F.sum("n_texts").alias("n_texts")]
-    light_texts = per_text.where("part = -1")
+    light_texts = per_text.where("part = -1") if hot else per_text
     places = spark.createDataFrame([(f, t, i) for i, (f, t) in enumerate(heavy)], "field_name string, term string, place int")
     marked = light_texts.join(F.broadcast(places), ["field_name", "term"], "left") if heavy else light_texts.withColumn("place", F.lit(None).cast("int"))
     parts = [marked.where("place is null").groupBy("field_name", "term").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_texts"))]
