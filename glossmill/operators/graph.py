@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from glossmill.context import cut_lineage
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def simple(edges: DataFrame) -> DataFrame:
     """Without loops and nulls, one edge an ordered pair."""
     return edges.where("src is not null and dst is not null and src <> dst").groupBy("doc_id", "src", "dst").agg(F.min("role").alias("role"))
@@ -126,7 +131,7 @@ def collapse_multiwords(subsumptions: DataFrame, weights: DataFrame) -> DataFram
         doc = sub["doc_id"].iloc[0] if len(sub) else None
         return pd.DataFrame([(doc, v, root(v)) for v in sorted(into)], columns=["doc_id", "v", "into"])
 
-    return subsumptions.groupBy("doc_id").cogroup(weights.groupBy("doc_id")).applyInPandas(run, f"doc_id {types['doc_id']}, v {types['v']}, into {types['v']}")
+    return subsumptions.groupBy("doc_id").cogroup(fresh(weights).groupBy("doc_id")).applyInPandas(run, f"doc_id {types['doc_id']}, v {types['v']}, into {types['v']}")
 
 
 def heaviest_of(groups: DataFrame) -> DataFrame:

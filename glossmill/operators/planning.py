@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from glossmill.operators.graph import role_rules
+from glossmill.operators.graph import fresh, role_rules
 from glossmill.options import Options
 
 V = Hashable
@@ -326,4 +326,4 @@ def plan_documents(vertices: DataFrame, edges: DataFrame, options: Options = Opt
             out.append((vs["doc_id"].iloc[0], place, s.root, value, means[i], sorted(s.vertices), inside))
         return pd.DataFrame(out, columns=columns)
 
-    return vertices.groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, {PLAN_SCHEMA}")
+    return vertices.groupBy("doc_id").cogroup(fresh(edges).groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, {PLAN_SCHEMA}")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.context import cut_lineage
+from glossmill.operators.graph import fresh
 from glossmill.options import Options
 
 MAX_STEPS = 10_000
@@ -198,7 +199,7 @@ def rank_vertices(vertices: DataFrame, edges: DataFrame, options: Options = Opti
         r = transition(row_normalise(y), variables_bias(p["w"].to_numpy(dtype=float)), options.damping_variables, options.personalised)
         return pd.DataFrame({"doc_id": p["doc_id"], "v": p["v"], "rank": power_iteration(r, steps, epsilon)})
 
-    return vertices.groupBy("doc_id").cogroup(undirected(edges).groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, v {key}, rank double")
+    return vertices.groupBy("doc_id").cogroup(fresh(undirected(edges)).groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, v {key}, rank double")
 
 
 def rank_large_graph(vertices: DataFrame, edges: DataFrame, damping: float = 0.2, steps: int = 50, epsilon: float | None = None, checkpoint_every: int = 5) -> DataFrame:
