@@ -37,7 +37,7 @@ from glossmill.context import cut_lineage
 SAMPLE = 65_536
 LIST_SIZE = 1024
 MAX_LISTS = 8192
-REPLICAS, PROBES, RATIO = 3, 8, 1.2
+REPLICAS, PROBES, RATIO = 3, 8, 1.3
 BLOCK = 8192
 #: Links of a centroid in the graph, best-first beam and centroids expanded a step.
 LINKS, BEAM, EXPAND, HOPS = 24, 32, 4, 8
