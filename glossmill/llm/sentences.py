@@ -12,7 +12,8 @@ Defined results
 * null, empty and blank texts, and texts of invisible marks only, have no units.
 * places are code points; white space and invisible marks at the edges are not part of a unit.
 * an id that comes more than once counts once; rows without id are left out.
-* very long texts are read once from left to right; a quotation that is not closed within
+* a quotation that the end of the text cuts off is part of the last unit.
+* very long texts are read once from left to right; any other quotation that is not closed within
   ``QUOTE_LIMIT`` characters of its paragraph is taken as a mere sign.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUOTE_LIMIT = 1200
+#: Longest quotation that a cut-off text may leave open.
+CUT_OFF = 160
 #: Abbreviations that never end a sentence.
 TITLES = """
 dr prof mr mrs ms st mt sr sra srta dra d jr rev hon gen col capt lt sgt sen rep gov
@@ -110,6 +113,7 @@ class Automaton:
     def __init__(self, text: str, lang: str | None) -> None:
         self.text, self.lang = text, (lang or "").lower()
         self.german = self.lang == "de"
+        self.last = len(text.rstrip())
 
     def units(self) -> list[tuple[int, int]]:
         out, at = [], 0
@@ -192,6 +196,9 @@ class Automaton:
             return True
         if limit == stop:
             unclosed.add(c)
+            # speech in which the text is cut off: the last quotation of the text stays open to its end
+            speech = c in '"“„«「『' and (before.isspace() or not before.isalnum()) and i + 1 < stop and text[i + 1].isalnum()
+            return speech and stop >= self.last and self.last - i <= CUT_OFF
         return False
 
     def closes(self, opener: str, i: int, stop: int) -> bool:

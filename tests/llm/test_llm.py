@@ -139,6 +139,7 @@ SPLITS = [
     ("th", "ราคา 83.1 ในเดือน ท่าเรือ", ["ราคา 83.1 ในเดือน", "ท่าเรือ"]),
     ("ar", "وصل د. التارني. انتظر... ثم وصل. أين؟ «هل هذا؟» سألت.", ["وصل د. التارني.", "انتظر... ثم وصل.", "أين؟", "«هل هذا؟» سألت."]),
     ("hi", "डॉ. वेल्दा आया। क्या?", ["डॉ. वेल्दा आया।", "क्या?"]),
+    ("en", 'It fell. "We counted 3. Nobody bel', ["It fell.", '"We counted 3. Nobody bel']), ("zh", "很好。“我们数了8个人。没", ["很好。", "“我们数了8个人。没"]),
     (None, "﻿  ​", []), (None, "", []), ("en", None, []), ("en", "no end", ["no end"]), ("en", "...", ["..."]),
 ]
 
