@@ -46,32 +46,34 @@ def ngrams(tokens: DataFrame, n: int = 3) -> DataFrame:
     return mentions(tokens, n, excluded=(), noun="").select("doc_id", "sent_id", "l", "r", "form")
 
 
+def _parts(spans: DataFrame, *carried: str) -> DataFrame:
+    """Each span as (ol, or) with every span (l, r) that would lie within it: at most max_span² rows a span."""
+    outer = spans.select("doc_id", "sent_id", F.col("l").alias("ol"), F.col("r").alias("or"), *carried)
+    lefts = outer.select("*", F.explode(F.sequence("ol", F.col("or") - 1)).alias("l"))
+    return lefts.select("*", F.explode(F.sequence(F.col("l") + 1, F.col("or"))).alias("r")).where("not (l = ol and r = or)")
+
+
 def contained_spans(spans: DataFrame) -> DataFrame:
     """Pairs (outer, inner) of different spans of one sentence, one within the other.
 
-    Instead of pairing all spans, each outer span looks its parts up: at most max_span² keys a span.
+    Instead of pairing all spans of a sentence, each outer span looks its parts up.
     """
-    outer = spans.select("doc_id", "sent_id", F.col("l").alias("ol"), F.col("r").alias("or"))
-    lefts = outer.select("*", F.explode(F.sequence("ol", F.col("or") - 1)).alias("l"))
-    parts = lefts.select("*", F.explode(F.sequence(F.col("l") + 1, F.col("or"))).alias("r")).where("not (l = ol and r = or)")
     inner = spans.select("doc_id", "sent_id", "l", "r").distinct()
-    return parts.join(inner, ["doc_id", "sent_id", "l", "r"]).select("doc_id", "sent_id", "ol", "or", "l", "r")
+    return _parts(spans).join(inner, ["doc_id", "sent_id", "l", "r"]).select("doc_id", "sent_id", "ol", "or", "l", "r")
 
 
 def maximal_spans(weighted: DataFrame) -> DataFrame:
     """Spans that outweigh all spans they contain and that none containing them outweighs.
 
-    ``weighted``: (doc_id, sent_id, l, r, w), one row a span.
+    ``weighted``: (doc_id, sent_id, l, r, w), one row a span. Each outer span takes its weight along
+    to its parts, so one join decides every pair.
     """
-    key = ["doc_id", "sent_id"]
-    pairs = contained_spans(weighted)
-    o = weighted.select(*key, F.col("l").alias("ol"), F.col("r").alias("or"), F.col("w").alias("ow"))
-    i = weighted.select(*key, "l", "r", F.col("w").alias("iw"))
-    both = pairs.join(o, [*key, "ol", "or"]).join(i, [*key, "l", "r"])
-    beaten = both.where("ow <= iw").select(*key, F.col("ol").alias("l"), F.col("or").alias("r"))
-    covered = both.where("ow > iw").select(*key, "l", "r")
-    lost = beaten.unionByName(covered).distinct()
-    return weighted.join(lost, [*key, "l", "r"], "left_anti")
+    key = ["doc_id", "sent_id", "l", "r"]
+    outer = weighted.withColumn("ow", F.col("w"))
+    both = _parts(outer, "ow").join(weighted.select(*key, F.col("w").alias("iw")), key)
+    wins = F.col("ow") > F.col("iw")
+    lost = both.select("doc_id", "sent_id", F.when(wins, F.col("l")).otherwise(F.col("ol")).alias("l"), F.when(wins, F.col("r")).otherwise(F.col("or")).alias("r")).distinct()
+    return weighted.join(lost, key, "left_anti")
 
 
 def subsumed_best(weighted: DataFrame) -> DataFrame:
