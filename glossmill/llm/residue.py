@@ -210,7 +210,7 @@ def residue_units(documents: DataFrame, id_column: str = "doc_id", text_column:
     open_ = cut_lineage(named.select("id", "src", F.xxhash64("norm").alias("unit_hash"), F.explode(kinds).alias("kind")))
     sure = open_.where("kind <> 'weak'").select("id", "unit_hash", "kind")
     maybe = open_.where("kind = 'weak'")
-    often = maybe.groupBy("unit_hash").agg(F.approx_count_distinct("id", 0.02).alias("n_docs"), F.count_distinct("src").alias("n_sources"))
+    often = maybe.groupBy("unit_hash").agg(F.count_distinct("id").alias("n_docs"), F.count_distinct("src").alias("n_sources"))
     wide = often.where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)).select("unit_hash")
     return sure.unionByName(maybe.join(wide, "unit_hash", "left_semi").select("id", "unit_hash", F.lit("recurring").alias("kind")))
 
