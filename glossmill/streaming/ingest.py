@@ -18,7 +18,7 @@ def token_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
 
 
 def windowed_terms(tokens: DataFrame, delay: str = "30 days", window: str = "7 days", field: str = "lemma") -> DataFrame:
-    """(window, term, n): tokens per term and window of arrival, each tok_id once within the watermark."""
+    """(window, term, n): rows per term and window of arrival; null and empty terms are left out."""
     live = tokens.withWatermark("loaded_at", delay).where(F.col(field).isNotNull() & (F.col(field) != ""))
     return live.groupBy(F.window("loaded_at", window), F.col(field).alias("term")).agg(F.count("*").alias("n"))
 
