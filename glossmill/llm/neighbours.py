@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +45,21 @@ LINKS, BEAM, EXPAND, HOPS = 24, 32, 4, 8
 
 
 def usable(vectors: DataFrame, dims: int, id_column: str = "vec_id", vector_column: str = "vectors") -> DataFrame:
-    """(vec_id, v): unit vectors of the rows that take part, as float32 arrays."""
-    v = F.col(vector_column)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    rows = vectors.where(F.col(id_column).isNotNull() & (F.size(v) == dims) & finite).withColumn("_max", largest).where("_max > 0")
-    scaled = F.transform(v, lambda x: x / F.col("_max"))  # no overflow or underflow of the squares
-    rows = rows.select(F.col(id_column).alias("vec_id"), scaled.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.withColumn("_n", norm).select("vec_id", F.transform("v", lambda x: (x / F.col("_n")).cast("float")).alias("v"))
+    """(vec_id, v): unit vectors of the rows that take part, as float32 arrays; narrow, a whole Arrow batch at a time."""
+    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("v")), dims), False))
+            x = kept.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)  # nulls become NaN
+            largest = np.abs(x).max(axis=1, initial=0.0)
+            good = np.isfinite(largest) & (largest > 0)
+            x = x[good] / largest[good, None]  # no overflow or underflow of the squares
+            unit = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * dims, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([kept.column("vec_id").filter(pa.array(good)), v], names=["vec_id", "v"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<float>")
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
