@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.context import table
+from glossmill.context import cut_lineage, table
 from glossmill.functions.text import hash28, is_content_word
 from glossmill.operators import candidates as C
 from glossmill.operators import context as X
@@ -57,15 +57,19 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, mention_id, ref, ord) of the content words."""
-    w = words(spark, d)
+    """(doc_id, mention_id, ref, ord) of the content words.
+
+    The words are read four times below, so they are written once to the shared folder, instead of
+    reading and counting the tokens once each time; so are the candidates, for the plans above.
+    """
+    w = cut_lineage(words(spark, d).select("doc_id", "mention_id", "form", "lemma"))
     keys = w.select(F.col("lemma")).unionByName(w.select(F.col("form").alias("lemma")))
-    return C.lookup(w, dictionary(spark, d, keys))
+    return cut_lineage(C.lookup(w, dictionary(spark, d, keys)))
 
 
 def context(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, vec): mean vector of the document's context words."""
-    t = X.context_tokens(tokens(spark, d), 2)
+    t = cut_lineage(X.context_tokens(tokens(spark, d), 2).select("doc_id", "form"))
     return X.mean_vectors(t, word_vectors(spark, d, t.select(F.col("form").alias("item"))), ["doc_id"], DIMS)
 
 
