@@ -1,16 +1,17 @@
 """Template residue and error-page text.
 
 Quoted passages are taken out first, since a text may quote a message without being one. The rest
-is cut into lines and sentences. A cheap pattern keeps the units that could be residue at all; in
-these, numbers, addresses, dates and identifiers are masked, and the exact normalised units are
-grouped by hash across all sources. Each distinct unit is classified once:
+is cut into lines and sentences. Numbers, addresses, dates and identifiers are masked in every unit,
+and the exact normalised units are grouped by hash across all sources, with the documents and sources
+each group stands in. Each distinct unit is classified once:
 
 * placeholder rules: unfilled places of a template, whatever their name;
 * phrase rules: messages, filler and notices that stand at the start of a unit;
-* recurrence: a unit in at least ``MIN_DOCS`` documents of at least ``MIN_SOURCES`` sources that
+* recurrence: a group in at least ``MIN_DOCS`` documents of at least ``MIN_SOURCES`` sources that
   speaks to the reader about pages, scripts or sessions.
 
-The classified units are joined back to their documents.
+The first two hold at any count: a message may stand in the collection only once, which recurrence
+cannot find. The classified units are joined back to their documents.
 
 Defined results
 ---------------
@@ -191,28 +192,42 @@ def masked(unit: Column) -> Column:
     return F.regexp_replace(x, r"^[\s*#>|·•=~_–—-]+|[\s*|·•=~_–—-]+$", "")
 
 
-def residue_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """(id, unit_hash, kind) of the units that are residue.
-
-    One shuffle of the few candidate units; the normalised hash groups are counted map-side first.
-    """
+def unit_occurrences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """(id, src, unit) of every unit of every text, quoted passages taken out."""
     rows = documents.where(F.col(id_column).isNotNull() & (F.trim(text_column) != "")).select(
         F.col(id_column).alias("id"), F.col(source_column).alias("src"), F.regexp_replace(F.regexp_replace(text_column, QUOTED, "⟦⟧"), QUOTED_PLACE, "⟦⟧").alias("t")
     )
-    units = rows.select("id", "src", F.explode(F.split("t", _UNITS)).alias("unit")).where(F.length("unit") > 1)
-    # each generator is a barrier: the masked unit and its kind are worked out once a unit
-    named = units.select("id", "src", "unit", F.explode(F.array(masked(F.col("unit")))).alias("norm"))
+    return rows.select("id", "src", F.explode(F.split("t", _UNITS)).alias("unit")).where(F.length("unit") > 1)
+
+
+def classified_units(occurrences: DataFrame) -> DataFrame:
+    """(raw_hash, unit_hash, n_docs, n_sources, kind) of every distinct unit; kind is null for ordinary text.
+
+    The distinct units are masked and tried against the rules once each, however often they stand;
+    ``raw_hash`` tells the spellings of one masked group ``unit_hash`` apart, since placeholders go by case.
+    Only hashes are shuffled after the first grouping; a group's documents are counted map-side first.
+    """
+    distinct = occurrences.select("unit").distinct()
+    # each generator is a barrier: the masked unit is worked out once a unit
+    named = distinct.select("unit", F.explode(F.array(masked(F.col("unit")))).alias("norm"))
     norm = F.col("norm")
     place = F.col("unit").rlike(PLACEHOLDER) & ~F.col("unit").rlike(SPOKEN_OF)
     phrase = norm.rlike(PHRASE) & ~norm.rlike(REPORTED)
     weak = norm.rlike(SUBJECTS) & norm.rlike(ADDRESS)
-    kinds = F.array_compact(F.array(F.when(place, "placeholder").when(phrase, "phrase").when(weak, "weak")))
-    open_ = cut_lineage(named.select("id", "src", F.xxhash64("norm").alias("unit_hash"), F.explode(kinds).alias("kind")))
-    sure = open_.where("kind <> 'weak'").select("id", "unit_hash", "kind")
-    maybe = open_.where("kind = 'weak'")
-    often = maybe.groupBy("unit_hash").agg(F.count_distinct("id").alias("n_docs"), F.count_distinct("src").alias("n_sources"))
-    wide = often.where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)).select("unit_hash")
-    return sure.unionByName(maybe.join(wide, "unit_hash", "left_semi").select("id", "unit_hash", F.lit("recurring").alias("kind")))
+    rule = F.when(place, "placeholder").when(phrase, "phrase").when(weak, "weak")
+    variants = cut_lineage(named.select(F.xxhash64("unit").alias("raw_hash"), F.xxhash64("norm").alias("unit_hash"), rule.alias("rule")))
+    places = occurrences.select("id", "src", F.xxhash64("unit").alias("raw_hash")).join(variants.select("raw_hash", "unit_hash"), "raw_hash")
+    counted = places.groupBy("unit_hash").agg(F.count_distinct("id").alias("n_docs"), F.count_distinct("src").alias("n_sources"))
+    wide = (F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)
+    kind = F.when(F.col("rule") != "weak", F.col("rule")).when(wide & (F.col("rule") == "weak"), "recurring")
+    return variants.join(counted, "unit_hash").select("raw_hash", "unit_hash", "n_docs", "n_sources", kind.alias("kind"))
+
+
+def residue_units(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """(id, unit_hash, kind, n_docs, n_sources) of the units that are residue: the classified units joined back to their documents."""
+    occurrences = unit_occurrences(documents, id_column, text_column, source_column)
+    found = classified_units(occurrences).where("kind is not null")
+    return occurrences.select("id", F.xxhash64("unit").alias("raw_hash")).join(found, "raw_hash").select("id", "unit_hash", "kind", "n_docs", "n_sources")
 
 
 def residue_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:

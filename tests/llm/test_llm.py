@@ -259,3 +259,12 @@ def test_recurring_messages_across_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert residue.residue_documents(df).count() == 8
     assert residue.residue_documents(df.where("source = 's0'")).count() == 0
+
+
+def test_units_are_grouped_before_they_are_classified(spark):
+    rows = [(i, f"Error {400 + i}: see below.\nWords {i} of a story.", f"s{i % 3}") for i in range(6)] + [(9, "ERROR 7: see below.", None), (10, "See {body_text} there.", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = residue.classified_units(residue.unit_occurrences(df)).collect()
+    assert len({r.raw_hash for r in units}) == len(units) == 14 and len({r.unit_hash for r in units}) == 3
+    assert {(r.kind, r.n_docs, r.n_sources) for r in units} == {("phrase", 7, 3), (None, 6, 3), ("placeholder", 1, 1)}
+    assert {(r.id, r.kind, r.n_docs) for r in residue.residue_units(df).collect()} == {(i, "phrase", 7) for i in (*range(6), 9)} | {(10, "placeholder", 1)}
