@@ -140,17 +140,22 @@ def heaviest_of(groups: DataFrame) -> DataFrame:
     return groups.join(best.where("n > 1"), ["doc_id", "group_id"]).where("v <> into").groupBy("doc_id", "v").agg(F.min("into").alias("into"))
 
 
-def merge_graphs(edges: DataFrame, weights: DataFrame, coref: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Global graph of a document: edges, and (doc_id, v, w).
+def merge_graphs(edges: DataFrame, weights: DataFrame, coref: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Global graph of a document: edges, (doc_id, v, w) and the contraction (doc_id, v, into).
 
     ``coref(doc_id, group_id, v)`` chains of more than one go into their heaviest vertex, then the
-    vertices of one entity meaning (``entities(doc_id, group_id, v)``) likewise.
+    vertices of one entity meaning (``entities(doc_id, group_id, v)``) likewise, by the meaning that
+    the head of a chain keeps.
     """
-    for groups in (coref, entities):
-        mapping = heaviest_of(groups.select("doc_id", "group_id", "v").join(weights, ["doc_id", "v"], "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
-        edges = contract(edges, mapping)
-        weights = weights.join(mapping, ["doc_id", "v"], "left_anti")
-    return edges, weights
+
+    def heads(groups: DataFrame) -> DataFrame:
+        return heaviest_of(groups.select("doc_id", "group_id", "v").join(weights, ["doc_id", "v"], "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
+
+    first = heads(coref)
+    second = heads(entities.join(first, ["doc_id", "v"], "left_anti"))
+    onward = second.select("doc_id", F.col("v").alias("into"), F.col("into").alias("_to"))
+    mapping = first.join(onward, ["doc_id", "into"], "left").select("doc_id", "v", F.coalesce("_to", "into").alias("into")).unionByName(second)
+    return contract(edges, mapping), weights.join(mapping, ["doc_id", "v"], "left_anti"), mapping
 
 
 def dependency_graph(tokens: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from glossmill.functions.text import hash28, is_content_word
 from glossmill.operators import candidates as C
 from glossmill.operators import context as X
 from glossmill.operators import spans as S
+from glossmill.plans.disambiguation import Inputs
 from glossmill.sources.readers import surrogate_dictionary
 
 DIMS = 64
@@ -109,3 +110,20 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
     k = hash28(F.concat("form", F.lit("g"))) % SENSES
     return w.select(F.col("mention_id").alias("key"), F.array(F.pmod(hash28(F.col("lemma")) + 37 * k, F.lit(n))).alias("refs"))
+
+
+def bank_senses(spark: SparkSession, d: str):
+    """Dictionary, meanings and word vectors for the tokens and mentions of banks."""
+
+    def senses(words: DataFrame, mentions: DataFrame) -> Inputs:
+        keys = mentions.select("lemma").unionByName(mentions.select(F.col("form").alias("lemma")))
+        return Inputs(words, dictionary(spark, d, keys), meanings(spark, d), word_vectors(spark, d, words.select(F.col("form").alias("item"))), DIMS)
+
+    return senses
+
+
+def coreference(mentions: DataFrame) -> DataFrame:
+    """(doc_id, group_id, v): vertices other than frames whose first word is the same, case apart, are one chain."""
+    first = F.min_by("lemma", F.struct("l", "r"))
+    heads = mentions.where("not multiword and not frame").groupBy("doc_id", "v").agg(first.alias("group_id"))
+    return heads.select("doc_id", "group_id", "v")

@@ -572,21 +572,25 @@ def amr_span_tops(spark, d):
     return amr.span_tops(amr.read_banks(table(spark, d, "documents")))
 
 
+def _plans(spark, d, **kwargs):
+    return summary.plan_banks(table(spark, d, "documents"), X0.bank_senses(spark, d), X0.coreference, OPTIONS, **kwargs)
+
+
 @query
 def extracted_subgraphs(spark, d):
-    return summary.plan_banks(table(spark, d, "documents"), stage="extract").select("doc_id", "place", "root", r6("value").alias("value"), F.array_join("vertices", ",").alias("vertices"))
+    return _plans(spark, d, stage="extract").select("doc_id", "place", "root", r6("value").alias("value"), F.array_join("vertices", ",").alias("vertices"))
 
 
 @query
 def distinct_subgraphs(spark, d):
-    return summary.plan_banks(table(spark, d, "documents"), keep=3, stage="dedup").select("doc_id", "place", "root", r6("weight").alias("weight"))
+    return _plans(spark, d, keep=3, stage="dedup").select("doc_id", "place", "root", r6("weight").alias("weight"))
 
 
 @query
 def ordered_plans(spark, d):
-    return summary.plan_banks(table(spark, d, "documents"), keep=5).select("doc_id", "place", "root", r6("weight").alias("weight"))
+    return _plans(spark, d, keep=5).select("doc_id", "place", "root", r6("weight").alias("weight"))
 
 
 @query
 def summaries(spark, d):
-    return summary.summarise(table(spark, d, "documents"), keep=5)
+    return summary.summarise(table(spark, d, "documents"), X0.bank_senses(spark, d), X0.coreference, OPTIONS, keep=5)

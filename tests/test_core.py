@@ -296,3 +296,42 @@ def test_stream_of_tokens(spark, tmp_path):
 def test_options_are_frozen():
     with pytest.raises(Exception):
         Options().sim_threshold = 1
+
+
+TWO_SENTENCES = """# ::id a.1
+# ::tok The boy saw Rome station
+# ::alignments 1-1.1 2-1 3-1.2.1 4-1.2
+(s / see-01
+   :ARG0 (b / boy)
+   :ARG1 (t / station
+      :mod (r / rome)))
+
+# ::id a.2
+# ::tok A boy left
+# ::alignments 1-1.1 2-1
+(l / leave-01
+   :ARG0 (b / boy))
+"""
+
+
+def test_global_graph_chooses_collapses_and_merges(spark):
+    from glossmill.plans import disambiguation, fixtures, summary
+
+    refs = {"boy": 1, "saw": 2, "rome": 3, "station": 4, "rome station": 5, "left": 6}
+
+    def senses(words, mentions):
+        vec = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.6, 0.8], 4: [0.8, 0.6], 5: [1.0, 0.1], 6: [0.1, 1.0]}
+        dictionary = spark.createDataFrame([(w, 1, r) for w, r in refs.items()], "lemma string, sense_rank int, ref int")
+        meanings = spark.createDataFrame([(r, False, v) for r, v in vec.items()], "ref int, is_ne boolean, vec array<double>")
+        return disambiguation.Inputs(words, dictionary, meanings, spark.createDataFrame([("boy", [1.0, 0.0])], "item string, vec array<double>"), 2)
+
+    documents = spark.createDataFrame([(1, TWO_SENTENCES)], "doc_id int, text string")
+    options = Options(min_context_freq=1)
+    tables = summary.bank_graphs(documents, senses=senses, coref=fixtures.coreference, options=options)
+    vs = {r.v: r for r in tables["vertices"].collect()}
+    boy = {v for v in vs if v.endswith("_b")}
+    assert len(boy) == 1 and vs[boy.pop()].sources == ["a.1", "a.2"]
+    assert vs["a.1_t"].meaning == "5" and "a.1_r" not in vs and vs["a.1_t"].w > 0 and vs["a.1_t"].vec is not None
+    assert {(r.src, r.role) for r in tables["edges"].collect()} == {("a.1_s", ":ARG0"), ("a.1_s", ":ARG1"), ("a.2_l", ":ARG0")}
+    plans = summary.plan_banks(documents, senses, fixtures.coreference, options).collect()
+    assert any({v[:3] for v in p.vertices} == {"a.1", "a.2"} for p in plans)
