@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.context import cut_lineage
 from glossmill.functions.text import is_content_word
 from glossmill.operators import candidates as C
 from glossmill.operators import context as X
@@ -54,10 +55,16 @@ def disambiguate(inputs: Inputs, options: Options = Options()) -> DataFrame:
     return C.choose_ranked_or_first(ranked_candidates(inputs, options), "weight")
 
 
-def sweep_similarity(inputs: Inputs, options: Options, thresholds: list[float]) -> DataFrame:
-    """Chosen senses for each similarity threshold, ranked anew each time; a few thresholds, one plan each."""
+def sweep_similarity(inputs: Inputs, options: Options, thresholds: list[float], found: DataFrame | None = None) -> DataFrame:
+    """Chosen senses for each similarity threshold, ranked anew each time; a few thresholds, one plan each.
+
+    The threshold only enters the ranking, so the candidates and what it reads are written once for all.
+    """
+    top = cut_lineage(weighted_candidates(inputs, options, found))
+    rows = cut_lineage(R.ranking_input(top, top.select("doc_id", "ref", "w").distinct(), inputs.meanings))
     out = None
     for t in thresholds:
-        one = disambiguate(inputs, replace(options, sim_threshold=t)).withColumn("threshold", F.lit(float(t)))
+        ranks = R.rank_meanings(rows, replace(options, sim_threshold=t))
+        one = C.choose_ranked_or_first(R.write_ranks(top, ranks), "weight").withColumn("threshold", F.lit(float(t)))
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.context import table
+from glossmill.context import cut_lineage, table
 from glossmill.functions import text as T
 from glossmill.functions import vectors as V
 from glossmill.operators import aggregates as A
@@ -335,16 +335,24 @@ def rank_meanings(spark, d):
     return E.rank_list(ranks).select("doc_id", "ref", r6("rank").alias("rank"), "k")
 
 
-@query
-def disambiguated_mentions(spark, d):
-    from glossmill.plans.disambiguation import Inputs, disambiguate
+def _mention_inputs(spark, d):
+    from glossmill.plans.disambiguation import Inputs
 
     t = X0.tokens(spark, d)
     found = S.mentions(t, 2, ("X",))
     keys = found.select("lemma").unionByName(found.select(F.col("form").alias("lemma")))
     items = t.select(F.col("form").alias("item"))
-    inputs = Inputs(t, X0.dictionary(spark, d, keys), X0.meanings(spark, d), X0.word_vectors(spark, d, items))
-    return disambiguate(inputs, Options(sim_threshold=THRESHOLD, max_span=2, excluded_pos=("X",), min_context_freq=2, context_threshold=0.6)).select("doc_id", "mention_id", "ref")
+    return Inputs(t, X0.dictionary(spark, d, keys), X0.meanings(spark, d), X0.word_vectors(spark, d, items))
+
+
+MENTION_OPTIONS = Options(sim_threshold=THRESHOLD, max_span=2, excluded_pos=("X",), min_context_freq=2, context_threshold=0.6)
+
+
+@query
+def disambiguated_mentions(spark, d):
+    from glossmill.plans.disambiguation import disambiguate
+
+    return disambiguate(_mention_inputs(spark, d), MENTION_OPTIONS).select("doc_id", "mention_id", "ref")
 
 
 @query
@@ -479,8 +487,23 @@ def mean_average_precision(spark, d):
     return E.mean_average_precision(ranking, g).select(r6("map").alias("map"), "n_docs")
 
 
+@query
+def similarity_sweep(spark, d):
+    """E3: all mentions ranked and scored anew for each of 11 similarity thresholds."""
+    from glossmill.plans.disambiguation import sweep_similarity
+
+    levels = [k / 10 for k in range(11)]
+    chosen = cut_lineage(sweep_similarity(_mention_inputs(spark, d), MENTION_OPTIONS, levels).select("threshold", F.col("mention_id").alias("key"), "ref"))
+    gold, out = cut_lineage(X0.gold(spark, d)), None
+    for t in levels:
+        one = E.precision_recall(chosen.where(F.col("threshold") == t), gold).select(F.lit(t).alias("threshold"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def threshold_sweep(spark, d):
+    """Cut-off of the context weight at 11 levels; nothing is ranked anew (that is similarity_sweep)."""
     c = _weighted(spark, d).select(F.col("mention_id").alias("key"), "ref", "ord", F.col("w").alias("weight"))
     return E.sweep(c, X0.gold(spark, d), "weight", [k / 10 for k in range(11)]).select(r6("threshold").alias("threshold"), r6("precision").alias("precision"), r6("recall").alias("recall"))
 

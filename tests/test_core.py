@@ -335,3 +335,20 @@ def test_global_graph_chooses_collapses_and_merges(spark):
     assert {(r.src, r.role) for r in tables["edges"].collect()} == {("a.1_s", ":ARG0"), ("a.1_s", ":ARG1"), ("a.2_l", ":ARG0")}
     plans = summary.plan_banks(documents, senses, fixtures.coreference, options).collect()
     assert any({v[:3] for v in p.vertices} == {"a.1", "a.2"} for p in plans)
+
+
+def test_similarity_sweep_ranks_and_scores_anew(spark):
+    from glossmill import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {r.threshold: r for r in queries.QUERIES["similarity_sweep"](spark, d).collect()}
+    assert sorted(got) == [k / 10 for k in range(11)] and len({r.precision for r in got.values()}) > 1
+    from dataclasses import replace
+
+    from glossmill.operators import evaluation as E
+    from glossmill.plans import disambiguation as D
+    from glossmill.plans import fixtures as X0
+
+    alone = D.disambiguate(queries._mention_inputs(spark, d), replace(queries.MENTION_OPTIONS, sim_threshold=0.4)).select(F.col("mention_id").alias("key"), "ref")
+    want = E.precision_recall(alone, X0.gold(spark, d)).first()
+    assert abs(got[0.4].precision - want.precision) < 1e-6 and abs(got[0.4].recall - want.recall) < 1e-6
