@@ -31,6 +31,12 @@ def test_weights_mark_out_rare_bursts(spark):
     assert [tuple(r) for r in weights.distinctive_pairs(tokens_of(spark, texts)).collect()] == [("t0", "rare")]
 
 
+def test_a_small_count_beside_a_large_one_is_kept(spark):
+    texts = {f"t{i}": ["the"] for i in range(500)} | {"long": ["burst"] * 200, "short": ["burst"] * 4, "few": ["burst"] * 3}
+    got = {tuple(r) for r in weights.distinctive_pairs(tokens_of(spark, texts)).collect()}
+    assert got == {("long", "burst"), ("short", "burst")}
+
+
 def test_weighters_cover_every_text_and_empty_tables(spark):
     texts = spark.createDataFrame([("t0", None), ("none", {"old": 1.0}), ("t0", None)], "text_id string, weighter map<string,double>")
     t = tokens_of(spark, {"t0": ["a", "b"]})
