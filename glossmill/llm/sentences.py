@@ -12,9 +12,10 @@ Defined results
 * null, empty and blank texts, and texts of invisible marks only, have no units.
 * places are code points; white space and invisible marks at the edges are not part of a unit.
 * an id that comes more than once counts once; rows without id are left out.
-* a quotation that the end of the text cuts off is part of the last unit.
-* very long texts are read once from left to right; any other quotation that is not closed within
-  ``QUOTE_LIMIT`` characters of its paragraph is taken as a mere sign.
+* a quotation of any length that is closed in its paragraph is one; so is one that the end of a
+  text without an end mark cuts off, as part of the last unit.
+* any other opening mark is a mere sign: what stands open at the end of its paragraph, or when an outer
+  bracket closes. Then the paragraph is read again from that mark on.
 """
 
 from __future__ import annotations
@@ -27,9 +28,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUOTE_LIMIT = 1200
-#: Longest quotation that a cut-off text may leave open.
-CUT_OFF = 160
 #: Abbreviations that never end a sentence.
 TITLES = """
 dr prof mr mrs ms st mt sr sra srta dra d jr rev hon gen col capt lt sgt sen rep gov
@@ -61,10 +59,14 @@ ELLIPSES = "….．"
 CLOSER_OF = {'"': '"', "“": "”", "„": "“”", "‚": "‘", "‘": "’", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "'": "'"}
 BRACKETS = set("([{（［【〔")
 CLOSERS = set("".join(CLOSER_OF.values()))
+#: Marks that can only close, and are no apostrophe.
+ONLY_CLOSE = CLOSERS - set(CLOSER_OF) - {"’"}
+OPENERS_OF = {x: [c for c, xs in CLOSER_OF.items() if x in xs] for x in ONLY_CLOSE}
 _MARKS = regex.compile(r"[.．!?…;;。！？｡؟۔।॥።։᙮\"“”„‚‘’«»‹›「」『』《》〈〉(){}\[\]（）［］【】〔〕']|(?<=[ก-ฺเ-๎])[^\S\r\n]\s*(?=[ก-ฺเ-๎])|(?<=[ก-ฺเ-๎])\s*[^\S\r\n]\s*(?=[ก-ฺเ-๎])")
 _LINE_END = r"(?>\r\n|[\n\r\u0085\u2028])"
 _BLANK_LINE = regex.compile(rf"{_LINE_END}(?:[^\S\n\r\u0085\u2028]*{_LINE_END})+|\u2029")
 _NUMBERED = regex.compile(r"[\W_]*(?:\p{L}+\s+)?\d+(?:\.\d+)*\.(?=\s)")
+_SINGLE_CLOSE = regex.compile(r"[.,!?…]'(?![\p{L}\p{N}])")
 _NOTE = regex.compile(r"\[\d{1,4}\]")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.\-']+\Z")
 _SPEAKER = regex.compile(r"\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*){0,2}\s+(?:" + "|".join(SPEECH.split()) + r")\b")
@@ -130,13 +132,31 @@ class Automaton:
         if begin >= stop:
             return []
         heading = -1
-        if stop - begin <= 100 and text[stop - 1] not in ".!?…" + ALWAYS and (m := _NUMBERED.match(text, begin, stop)):
+        if text[stop - 1] not in ".!?…" + ALWAYS and (m := _NUMBERED.match(text, begin, stop)):
             heading = m.end() - 1
+        self.ends_at = {c: max(text.rfind(x, begin, stop) for x in xs) for c, xs in CLOSER_OF.items()}
+        self.ends_at["'"] = max((m.end() - 1 for m in _SINGLE_CLOSE.finditer(text, begin, stop)), default=-1)
         out: list[tuple[int, int]] = []
+        signs: set[int] = set()
+        at, done = begin, begin  # marks before ``done`` are part of what was read
+        while True:
+            begin, stack, resume = self.read(at, begin, done, stop, heading, signs, out)
+            cut = next((n for n, (c, i) in enumerate(stack) if self.cut_off(c, i, stop)), len(stack))
+            if not stack or cut == 0:
+                break
+            # what is open at the end was never closed; nothing was given out since the first of it
+            signs.update(i for _, i in stack[:cut])
+            at, done = stack[0][1], resume
+        if begin < stop:
+            out.append((begin, stop))
+        return out
+
+    def read(self, at: int, begin: int, done: int, stop: int, heading: int, signs: set[int], out: list[tuple[int, int]]) -> tuple[int, list[tuple[str, int]], int]:
+        """Reads the marks from ``at`` on; gives the start of the open unit, what is still open, and ``done`` where the first of it opened."""
+        text, resume = self.text, done
         stack: list[tuple[str, int]] = []
-        unclosed: set[str] = set()
-        done = begin  # marks before this place are part of what was read
-        for m in _MARKS.finditer(text, begin, stop):
+        waiting = dict.fromkeys(CLOSER_OF, 0)
+        for m in _MARKS.finditer(text, at, stop):
             i, c = m.start(), m[0][0]
             if i < done or i == heading:
                 continue
@@ -145,8 +165,12 @@ class Automaton:
                     out.append((begin, i))
                     begin = done = m.end()
                 continue
+            if c in ONLY_CLOSE and any(waiting[x] for x in OPENERS_OF[c]):
+                while c not in CLOSER_OF[stack[-1][0]]:  # the mark around it closes, so this was a mere sign
+                    waiting[stack.pop()[0]] -= 1
             if stack and c in CLOSER_OF[stack[-1][0]] and self.closes(stack[-1][0], i, stop):
                 opener, opened = stack.pop()
+                waiting[opener] -= 1
                 end = i + 1
                 if not stack and self.mark_before(i, opened) and not self.mark_after(end, stop):
                     end = self.closing(end, stop)
@@ -155,8 +179,11 @@ class Automaton:
                         begin = _skip(text, end, stop)
                     done = max(done, end)
                 continue
-            if c in CLOSER_OF and self.opens(c, i, stop, unclosed):
+            if c in CLOSER_OF and i not in signs and self.opens(c, i, stop):
+                if not stack:
+                    resume = done
                 stack.append((c, i))
+                waiting[c] += 1
                 continue
             if c in CLOSERS or c in CLOSER_OF or stack:
                 continue
@@ -173,33 +200,26 @@ class Automaton:
                 done = end
             if begin >= stop:
                 break
-        if begin < stop:
-            out.append((begin, stop))
-        return out
+        return begin, stack, resume
 
     # --- the stack -------------------------------------------------------------------------
 
-    def opens(self, c: str, i: int, stop: int, unclosed: set[str]) -> bool:
-        """Whether ``c`` opens something that is closed soon enough in the paragraph."""
+    def opens(self, c: str, i: int, stop: int) -> bool:
+        """Whether ``c`` opens something that may be closed in the paragraph, or is cut off with the text."""
         text = self.text
-        if c in unclosed:
-            return False
         before = text[i - 1] if i else " "
         if c in "'‘‚" and (before.isalnum() or i + 1 >= stop or not text[i + 1].isalnum()):
             return False
-        if c == "'":
-            return regex.search(r"[.,!?…]'(?=[\s,.;)]|\Z)", text[i + 1 : min(stop, i + 300)]) is not None
         if c == '"' and before.isalnum() and i + 1 < stop and text[i + 1].isspace():
             return False
-        limit = min(stop, i + QUOTE_LIMIT)
-        if any(text.find(x, i + 1, limit) >= 0 for x in CLOSER_OF[c]):
-            return True
-        if limit == stop:
-            unclosed.add(c)
-            # speech in which the text is cut off: the last quotation of the text stays open to its end
-            speech = c in '"“„«「『' and (before.isspace() or not before.isalnum()) and i + 1 < stop and text[i + 1].isalnum()
-            return speech and stop >= self.last and self.last - i <= CUT_OFF
-        return False
+        return self.ends_at[c] > i or self.cut_off(c, i, stop)
+
+    def cut_off(self, c: str, i: int, stop: int) -> bool:
+        """Whether the text is cut off within the speech that ``c`` opens: it ends in its last paragraph without an end mark."""
+        text = self.text
+        before = text[i - 1] if i else " "
+        speech = c in '"“„«「『' and (before.isspace() or not before.isalnum()) and i + 1 < stop and text[i + 1].isalnum()
+        return speech and stop >= self.last and text[stop - 1] not in ".!?…．" + ALWAYS
 
     def closes(self, opener: str, i: int, stop: int) -> bool:
         if opener in "'‘":  # an apostrophe inside a word does not close

@@ -155,6 +155,34 @@ def test_sentences(lang, text, want):
     assert [text[a:b] for a, b in sentences.split_text(text, lang)] == want
 
 
+LONG = "We counted them all. Nobody knew. " * 60
+
+
+@pytest.mark.parametrize("a,b", ['""', "“”", "„“", "«»", "「」", "''"])
+def test_long_quotations_and_brackets_are_one_unit(a, b):
+    said = f"{a}{LONG}So it was,{b} said Mara."
+    text = f"It fell. {said} He left."
+    assert [text[i:j] for i, j in sentences.split_text(text, "en")] == ["It fell.", said, "He left."]
+    text = f"He asked ({LONG.strip()}) still. He left."
+    assert [text[i:j] for i, j in sentences.split_text(text, "en")] == [text[:-9].rstrip(), "He left."]
+
+
+def test_long_cut_off_speech_and_headings_are_one_unit():
+    text = f'It fell. "{LONG}Nobody bel'
+    assert [text[i:j] for i, j in sentences.split_text(text, "en")] == ["It fell.", text[9:]]
+    text = "Chapter 7. " + "The long canal and " * 10 + "its towns"
+    assert [text[i:j] for i, j in sentences.split_text(text, "en")] == [text]
+
+
+def test_marks_that_are_never_closed_are_mere_signs():
+    cases = [('He saw (the old one. It fell. "Yes," he said. He left.', 4), ("In the '90s it fell. He said, 'Go.' He left.", 3), ('It was (5" or so) long. It fell. He left.', 3), ("“It fell. He left. “Yes.” The end.", 4), ('The (odd "mark) stood. It fell. He had "two" there.', 3)]
+    for text, n in cases:
+        assert len(sentences.split_text(text, "en")) == n, (text, sentences.split_text(text, "en"))
+    rng = random.Random(3)
+    for marks in ("“((", '"(“', "«»(", "'\"(", "„“”"):
+        assert sentences.split_text("".join(rng.choice(marks) + rng.choice(["A b. ", "c", ", "]) for _ in range(30000)), "en")
+
+
 def test_sentences_cover_any_text_in_order():
     rng = random.Random(5)
     for _ in range(400):
