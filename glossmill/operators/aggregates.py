@@ -1,7 +1,9 @@
-"""Counts, weights and statistics over documents; all partial aggregates in the JVM."""
+"""Counts, weights and statistics over documents; partial aggregates in the JVM, but for the pairs of ``pair_counts``."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,38 @@ def similarity_stats(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return n.join(linked, "doc_id", "left").select("doc_id", "n_meanings", pairs, F.coalesce("n_similar", F.lit(0)).alias("n_similar"), "mean")
 
 
+def pair_counts(rows: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, n_pairs, n_valid, n_defined, n_filtered, n_negative) of the pairs of meanings of ``ranking_input``.
+
+    Valid pairs have different mentions, defined ones also two vectors that are not zero; of these,
+    those below the threshold are filtered, and those below 0 negative.
+    """
+    doc = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("ref", kind="stable")
+        n = len(p)
+        sizes = p["ms"].value_counts().to_numpy()
+        valid = n * (n - 1) // 2 - int((sizes * (sizes - 1) // 2).sum())
+        some = np.array([v is not None and float(np.linalg.norm(v)) > 0 for v in p["vec"]], dtype=bool)
+        x = np.array([np.asarray(v, dtype=float) / np.linalg.norm(v) for v, k in zip(p["vec"], some) if k])
+        group = p["ms"].to_numpy()[some]
+        defined = filtered = negative = 0
+        for i in range(len(x) - 1):
+            c = (x[i + 1 :] @ x[i])[group[i + 1 :] != group[i]]
+            defined, filtered, negative = defined + len(c), filtered + int((c < threshold).sum()), negative + int((c < 0).sum())
+        return pd.DataFrame([(p["doc_id"].iloc[0], n * (n - 1) // 2, valid, defined, filtered, negative)], columns=["doc_id", "n_pairs", "n_valid", "n_defined", "n_filtered", "n_negative"])
+
+    kept = rows.select("doc_id", "ref", "ms", "vec")
+    return kept.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, n_pairs long, n_valid long, n_defined long, n_filtered long, n_negative long")
+
+
+def described_meanings(meanings: DataFrame) -> DataFrame:
+    """Meanings with a gloss or a lemma."""
+    some = [F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0 for c in ("glosses", "lemmas")]
+    return meanings.where(some[0] | some[1])
+
+
 def meaning_stats(meanings: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row of counts over (ref, glosses, lemmas): glosses, lemmas, tokens and how many have vectors."""
     tokens = meanings.select("ref", F.explode_outer("glosses").alias("gloss")).select("ref", F.explode(F.filter(F.split(F.coalesce("gloss", F.lit("")), r"\s+"), lambda x: x != "")).alias("item"))

@@ -430,6 +430,11 @@ def similarity_stats(spark, d):
     return s.select("doc_id", "n_meanings", "n_pairs", "n_similar", r6("mean").alias("mean"))
 
 
+@query
+def similarity_pairs(spark, d):
+    return A.pair_counts(_ranking_rows(spark, d), THRESHOLD)
+
+
 @query
 def text_statistics(spark, d):
     s = A.describe(table(spark, d, "documents"), F.col("n_chars").cast("double"), ["source"])
@@ -599,6 +604,13 @@ def _plans(spark, d, **kwargs):
     return summary.plan_banks(table(spark, d, "documents"), X0.bank_senses(spark, d), X0.coreference, OPTIONS, **kwargs)
 
 
+@query
+def amr_mentions(spark, d):
+    graphs = amr.read_banks(table(spark, d, "documents"))
+    concepts = G.without_concepts(G.prefixed(amr.graph_tables(graphs)["edges"]))[1]
+    return summary.bank_mentions(graphs, concepts)
+
+
 @query
 def extracted_subgraphs(spark, d):
     return _plans(spark, d, stage="extract").select("doc_id", "place", "root", r6("value").alias("value"), F.array_join("vertices", ",").alias("vertices"))

@@ -352,3 +352,23 @@ def test_similarity_sweep_ranks_and_scores_anew(spark):
     alone = D.disambiguate(queries._mention_inputs(spark, d), replace(queries.MENTION_OPTIONS, sim_threshold=0.4)).select(F.col("mention_id").alias("key"), "ref")
     want = E.precision_recall(alone, X0.gold(spark, d)).first()
     assert abs(got[0.4].precision - want.precision) < 1e-6 and abs(got[0.4].recall - want.recall) < 1e-6
+
+
+def test_pair_counts_and_described_meanings(spark):
+    from glossmill.operators import aggregates as A
+
+    rows = [("d", 1, "x", [1.0, 0.0]), ("d", 2, "x", [1.0, 0.0]), ("d", 3, "y", [0.9, 0.1]), ("d", 4, "z", [-1.0, 0.0]), ("d", 5, "u", None), ("d", 6, "v", [0.0, 0.0]), ("e", 1, "x", None)]
+    got = A.pair_counts(spark.createDataFrame(rows, "doc_id string, ref int, ms string, vec array<double>"), 0.5)
+    assert {tuple(r) for r in got.collect()} == {("d", 15, 14, 5, 3, 3), ("e", 0, 0, 0, 0, 0)}
+    m = spark.createDataFrame([(1, ["g"], None), (2, [], ["l"]), (3, [], []), (4, None, None)], "ref int, glosses array<string>, lemmas array<string>")
+    assert {r.ref for r in A.described_meanings(m).collect()} == {1, 2}
+
+
+def test_bank_mentions_of_one_and_several_tokens(spark):
+    from glossmill.plans import summary
+
+    graphs = amr.read_banks(spark.createDataFrame([(1, TWO_SENTENCES)], "doc_id int, text string"))
+    concepts = G.without_concepts(G.prefixed(amr.graph_tables(graphs)["edges"]))[1]
+    got = {(r.v, r.l, r.r, r.form) for r in summary.bank_mentions(graphs, concepts).collect()}
+    assert {("a.1_b", 1, 2, "boy"), ("a.1_t", 3, 5, "Rome station"), ("a.2_b", 1, 2, "boy")} <= got
+    assert not any(v == "a.1_s" and r - l > 1 for v, l, r, _ in got)
