@@ -423,6 +423,14 @@ def coverage(spark, d):
     return A.coverage(X0.tokens(spark, d), m, c).select("doc_id", "n_tokens", "covered", "covered_by_multiword", r6("polysemy").alias("polysemy"))
 
 
+@query
+def span_coverage(spark, d):
+    """Coverage by all spans (``coverage`` takes one in five of several tokens)."""
+    m = X0.spans(spark, d).withColumn("mention_id", F.format_string("%s_%03d-%03d", "sent_id", "l", "r"))
+    c = m.select("doc_id", "mention_id", F.explode(F.sequence(F.lit(0), T.hash28(F.col("lemma")) % 3)).alias("k"))
+    return A.coverage(X0.tokens(spark, d), m, c).select("doc_id", "n_tokens", "covered", "covered_by_multiword", r6("polysemy").alias("polysemy"))
+
+
 @query
 def similarity_stats(spark, d):
     rows = _ranking_rows(spark, d)
@@ -459,6 +467,12 @@ def mention_weights(spark, d):
     return A.most_weight(X0.words(spark, d), _weighted(spark, d).withColumnRenamed("w", "weight").where("ref % 4 <> 0")).select("doc_id", "mention_id", r6("w").alias("w"))
 
 
+@query
+def all_mention_weights(spark, d):
+    """The most weight of each mention over all of its candidates (``mention_weights`` leaves out one in four)."""
+    return A.most_weight(X0.words(spark, d), _weighted(spark, d).withColumnRenamed("w", "weight")).select("doc_id", "mention_id", r6("w").alias("w"))
+
+
 @query
 def meaning_average(spark, d):
     c = X0.candidates(spark, d).withColumn("weight", (T.hash28(F.concat_ws("_", "mention_id", F.col("ref").cast("string"))) % 100) / 100)
@@ -481,6 +495,18 @@ def wsd_scores(spark, d):
     return E.precision_recall(s, X0.gold(spark, d)).select(*[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query
+def system_scores(spark, d):
+    """Scores of the first sense and of the ranked choice, over all of their answers."""
+    first = C.choose_first(X0.candidates(spark, d))
+    ranked, out = QUERIES["disambiguated_mentions"](spark, d), None
+    for name, chosen in (("first", first), ("ranked", ranked)):
+        s = E.precision_recall(chosen.select(F.col("mention_id").alias("key"), "ref"), X0.gold(spark, d))
+        s = s.select(F.lit(name).alias("system"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def _scores_system(spark, d):
     return C.choose_first(X0.candidates(spark, d)).where("ref % 5 <> 0").select(F.col("mention_id").alias("key"), "ref")
 
@@ -581,8 +607,9 @@ def role_edges(spark, d):
 @query
 def merged_entities(spark, d):
     e, w = X0.edges(spark, d), X0.vertices(spark, d)
-    groups = w.join(X0.meanings(spark, d).where("is_ne").select(F.col("ref").alias("v"), F.col("type").alias("group_id")), "v").select("doc_id", "group_id", "v")
-    return G.merge_graphs(e, w, groups.where("v % 2 = 0"), groups)[0]
+    known = w.join(X0.meanings(spark, d).select(F.col("ref").alias("v"), "is_ne", "type"), "v")
+    chains = known.select("doc_id", F.concat_ws("_", "type", (F.col("v") % 7).cast("string")).alias("group_id"), "v")
+    return G.merge_graphs(e, w, chains, known.where("is_ne").select("doc_id", F.col("type").alias("group_id"), "v"))[0]
 
 
 @query
