@@ -36,7 +36,7 @@ def mentions(inputs: Inputs, options: Options) -> DataFrame:
 
 def weighted_candidates(inputs: Inputs, options: Options, found: DataFrame | None = None) -> DataFrame:
     """Candidates of all mentions, or of those ``found``, with their context weight ``w``, filtered to the top ones."""
-    cands = C.lookup(mentions(inputs, options) if found is None else found, inputs.dictionary)
+    cands = cut_lineage(C.lookup(mentions(inputs, options) if found is None else found, inputs.dictionary))
     contexts = X.mean_vectors(X.context_tokens(inputs.tokens, options.min_context_freq), inputs.vectors, ["doc_id"], inputs.dims)
     weights = X.context_weights(cands, contexts, inputs.meanings)
     return C.top_candidates(cands.join(weights, ["doc_id", "ref"]), options.num_first_meanings, options.context_threshold)
@@ -44,7 +44,7 @@ def weighted_candidates(inputs: Inputs, options: Options, found: DataFrame | Non
 
 def ranked_candidates(inputs: Inputs, options: Options = Options(), found: DataFrame | None = None) -> DataFrame:
     """(doc_id, mention_id, ref, ord, w, weight): the rank of each candidate's meaning as weight."""
-    top = weighted_candidates(inputs, options, found)
+    top = cut_lineage(weighted_candidates(inputs, options, found))
     weights = top.select("doc_id", "ref", "w").distinct()
     ranks = R.rank_meanings(R.ranking_input(top, weights, inputs.meanings), options)
     return R.write_ranks(top, ranks)
