@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
@@ -54,6 +57,38 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so a lost executor costs no recomputation."""
+    """``df`` written to the shared checkpoint folder, so a lost executor costs no recomputation.
+
+    Spark removes a checkpoint that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``session`` does.
+    """
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Folders of written tables that are still there, each with its session.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed columnar table in the shared folder; for tables that are read by parts of their columns.
+
+    ``drop_written`` removes the folders, at the latest when the program ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _WRITTEN.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+@atexit.register
+def drop_written() -> None:
+    """Remove every table that ``written`` made; what was read from them is not to be used any more."""
+    while _WRITTEN:
+        spark, folder = _WRITTEN.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  (the session has ended before)
+            continue
