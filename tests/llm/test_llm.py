@@ -272,10 +272,13 @@ def test_mixture_reaches_its_shares_within_repeats(spark):
 RESIDUE = [
     "404 Not Found", "Real words here. Written by {{author}} for all.", "Lorem ipsum dolor sit amet.", "Please enable JavaScript to continue.", "Body copy goes here",
     "A sentence.\nAccess denied. Your request was blocked. Reference 4ab8c9", "Where __CITY__ is.", '"Where is the {body} archive?" asked he.', "Zugriff verweigert. Kennung 12ab34", "请启用 JavaScript 后继续浏览。", "text text text text text text...", "undefined undefined, undefined",
+    "Diese Seite ist nicht verfügbar.", "Página não encontrada", "Pagina non trovata", "[TITLE GOES HERE]", "Dear %FIRST_NAME%, hello.", "By <<name>> for all.",
 ]
 REAL = [
     None, "", "  ", "Ok", "Access was denied to 9 nurses at the gate.", 'He saw "Please enable JavaScript to continue" there.', "A name in double braces, such as {{title}}, is replaced by its value.",
     "Let {a, b, c} stand for it, and [x] for the class.", "@highlight", "# ::id bank.1\n# ::tok A", "<|endoftext|>", "The error rate fell to 4 percent after the server was replaced.", "[MASK] is a token", '"Your text goes here," said Ilse.', "In the course, nurses learn JavaScript.", 'She typed "{{title}}" twice.',
+    "The link you followed as a child through the forest is gone.", "Something went wrong with the engine, and the crew landed.", "Too many requests came in that spring for the museum to answer.", "Nothing here yet suggests that the treaty failed.",
+    'He read: "' + "It was long. " * 40 + 'Access denied." Then he left.',
 ]
 
 
@@ -287,18 +290,21 @@ def test_residue_and_what_only_speaks_of_it(spark):
     assert residue.residue_documents(df.limit(0)).count() == 0
 
 
-def test_recurring_messages_across_sources(spark):
-    text = "You will be signed out when your browser closes."
-    rows = [(i, text, f"s{i % 2}") for i in range(8)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert residue.residue_documents(df).count() == 8
-    assert residue.residue_documents(df.where("source = 's0'")).count() == 0
+def test_recurrence_decides_what_only_opens_like_a_message(spark):
+    said = ["You will be signed out when your browser closes.", "Something went wrong with the page. 7 May 2020", "The link you followed: 41"]
+    for text in said:
+        rows = [(i, text.replace("7 May 2020", f"{i} {m} 2021"), f"s{i % 2}") for i, m in enumerate(("June", "März", "juillet", "May", "Ekim", "abril", "August", "Mai"))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        assert {r.kind for r in residue.residue_units(df).collect()} == {"recurring"} and residue.residue_documents(df).count() == 8
+        assert residue.residue_documents(df.where("source = 's0'")).count() == 0
+    assert len({r.unit_hash for r in residue.unit_occurrences(spark.createDataFrame([(i, f"Closed from {i} {m} 2021 on", "s") for i, m in enumerate(("June", "März", "juillet"))], "doc_id long, text string, source string")).collect()}) == 1
 
 
 def test_units_are_grouped_before_they_are_classified(spark):
     rows = [(i, f"Error {400 + i}: see below.\nWords {i} of a story.", f"s{i % 3}") for i in range(6)] + [(9, "ERROR 7: see below.", None), (10, "See {body_text} there.", "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     units = residue.classified_units(residue.unit_occurrences(df)).collect()
-    assert len({r.raw_hash for r in units}) == len(units) == 14 and len({r.unit_hash for r in units}) == 3
-    assert {(r.kind, r.n_docs, r.n_sources) for r in units} == {("phrase", 7, 3), (None, 6, 3), ("placeholder", 1, 1)}
-    assert {(r.id, r.kind, r.n_docs) for r in residue.residue_units(df).collect()} == {(i, "phrase", 7) for i in (*range(6), 9)} | {(10, "placeholder", 1)}
+    assert len({r.raw_hash for r in units}) == len(units) == 3 and len({r.unit_hash for r in units}) == 2
+    assert {(r.kind, r.n_docs, r.n_sources) for r in units} == {("recurring", 7, 4), ("placeholder", 1, 1)}
+    assert sorted((r.n_docs, r.n_sources) for r in residue.group_counts(residue.unit_occurrences(df)).collect()) == [(1, 1), (6, 3), (7, 4)]
+    assert {(r.id, r.kind, r.n_docs) for r in residue.residue_units(df).collect()} == {(i, "recurring", 7) for i in (*range(6), 9)} | {(10, "placeholder", 1)}
