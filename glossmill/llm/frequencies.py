@@ -1,13 +1,17 @@
 """Frequency of every distinct value: heavy-light aggregation.
 
-1. Heavy terms are detected with a mergeable frequent-items sketch over all rows. A term is heavy
-   if it may hold at least 1/1000 of a field's tokens, so there are about 1000 of them by proof.
-2. Tokens are brought together by text once. Each text's tokens are counted in place, so a
-   term's texts need not be brought together to be told apart. A hot text (at least 1/200 of all
-   rows, so at most 200) is spread over many tasks by its tokens.
-3. Heavy terms, broadcast with their place in an array, are counted into exact local counter
-   arrays, one pair of arrays a task. Only the remaining terms are shuffled, pre-aggregated.
-4. Both count tables are united. All counts are exact; the sketch only decides the way.
+1. One pass over all rows makes mergeable frequent-items sketches of the values and of the texts. A
+   value is heavy if it may hold at least 1/1000 of a field's tokens, so there are about 1000 of
+   them by proof; they are broadcast, each with its place in the counter arrays. A text is hot if
+   it may hold at least 1/2000 of all rows.
+2. A second pass packs the tokens of each text, as far as they stand in one block of the scan, into
+   one compressed record, with the places of heavy values instead of the values. Records are brought
+   together by text, since a token may be repeated anywhere and only its id can tell; a hot
+   text is spread by its tokens.
+3. Where a text is together its tokens are counted in place: heavy values in one pair of exact
+   local counter arrays a task, the others in a local table that is handed on when full. Only these
+   are shuffled by value, already counted.
+4. Both count tables are united. All counts are exact; sketches only decide the way.
 
 Defined results
 ---------------
@@ -15,91 +19,169 @@ Defined results
   point by code point, as stored.
 * marks: ``rare`` if the value is in exactly one text, else ``common`` if in more than a third of
   all texts of tokens, else null.
-* rows without text_id or tok_id are left out; an empty table gives no rows.
+* rows without text_id are left out; those without tok_id only make their text count as one; an
+  empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import marshal
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A term is heavy from this share of a field's rows on; at most its inverse can be.
+from glossmill.context import cut_lineage
+
+#: A value is heavy from this share of a field's rows on; at most its inverse can be.
 HEAVY_SHARE = 1 / 1000
-#: A text is hot from this share of all rows on.
-HOT_SHARE = 1 / 200
-#: Tasks that share the tokens of a hot text.
-HOT_PARTS = 64
+#: A text is hot from this share of all rows on, and spread over a task for each so many rows.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 200_000
+#: Values of a task's local table; when full, it is handed on.
+LOCAL_VALUES = 400_000
 FIELDS = ("lemma", "wf")
+COUNTED = "field_name string, term string, text_id string, n_tokens long, n_texts long"
+
+
+def detect(tokens: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """Heavy (field, value) pairs and hot texts with the number of tasks that share one; one pass, bounded results."""
+    sketches = [F.expr(f"approx_top_k(nullif({f}, ''), {int(1 / HEAVY_SHARE)}, {int(10 / HEAVY_SHARE)})").alias(f"_{k}") for k, f in enumerate(fields)]
+    texts = F.expr(f"approx_top_k(text_id, {int(1 / HOT_SHARE)}, {int(10 / HOT_SHARE)})").alias("_texts")
+    row = tokens.agg(F.count("*").alias("rows"), *sketches, texts).first()
+    heavy = [(f, x["item"]) for k, f in enumerate(fields) for x in row[f"_{k}"] or [] if x["item"] is not None and x["count"] >= HEAVY_SHARE * row["rows"]]
+    least = max(HOT_SHARE * row["rows"], HOT_ROWS)
+    hot = {x["item"]: -(-x["count"] // HOT_ROWS) for x in row["_texts"] or [] if x["item"] is not None and x["count"] >= least}
+    return heavy, hot
+
+
+def _packer(places: dict[str, dict[str, int]], hot: dict[str, int], fields: tuple[str, ...]):
+    """Records (text_id, part, tokens) of the texts of each block: ids, and for each field values or places of heavy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).dictionary_encode()
+            names, code = texts.dictionary.to_pylist(), texts.indices.to_numpy()
+            ids = batch.column(1).to_pylist()
+            part = np.zeros(len(code), dtype=np.int64)
+            for k, name in enumerate(names):
+                if (parts := hot.get(name, 1)) > 1:
+                    for i in np.flatnonzero(code == k):
+                        part[i] = zlib.crc32((ids[i] or "").encode()) % parts
+            order = np.lexsort((part, code))
+            cuts = np.flatnonzero(np.diff(code[order]) | np.diff(part[order])) + 1
+            values = []
+            for k, f in enumerate(fields):
+                at = places[f].get
+                values.append([None if not v else at(v, v) for v in batch.column(2 + k).take(pa.array(order)).to_pylist()])
+            ids = [ids[i] for i in order]
+            out: tuple[list, list, list] = ([], [], [])
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                out[0].append(names[code[order[a]]])
+                out[1].append(int(part[order[a]]))
+                out[2].append(zlib.compress(marshal.dumps((ids[a:b], [v[a:b] for v in values])), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["text_id", "part", "tokens"])
 
+    return run
 
-def heavy_terms(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, share: float = HEAVY_SHARE) -> list[tuple[str, str]]:
-    """(field, term) that may hold at least ``share`` of the rows; at most about 1/share per field."""
-    k = int(1 / share)
-    sketches = [F.expr(f"approx_top_k(nullif({f}, ''), {k}, {10 * k})").alias(f) for f in fields]
-    row = tokens.agg(F.count("*").alias("rows"), *sketches).first()
-    return [(f, x["item"]) for f in fields for x in row[f] or [] if x["item"] is not None and x["count"] >= share * row["rows"]]
 
+def _counter(heavy: list[tuple[str, str]], hot: dict[str, int], fields: tuple[str, ...]):
+    """Counts the records of a task, which come ordered by text and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_tokens, n_texts = np.zeros(len(heavy), dtype=np.int64), np.zeros(len(heavy), dtype=np.int64)
+        local: list[dict[str, list[int]]] = [{} for _ in fields]
+        texts = 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["field_name", "term", "text_id", "n_tokens", "n_texts"])
+
+        def counted(text: str, records: list[bytes]) -> list[tuple]:
+            """Counts one text, or one part of a hot one, whose counts come out by text."""
+            ids: list = []
+            values: list[list] = [[] for _ in fields]
+            for record in records:
+                more, columns = marshal.loads(zlib.decompress(record))
+                ids += more
+                for have, column in zip(values, columns):
+                    have += column
+            out = [(None, None, text, 0, 0)] if text in hot else []
+            for k, column in enumerate(values):
+                pairs = set(zip(ids, column))
+                for value, n in Counter(v for i, v in pairs if i is not None and v is not None).items():
+                    if text in hot:
+                        out.append((fields[k], heavy[value][1] if isinstance(value, int) else value, text, n, 0))
+                    elif isinstance(value, int):
+                        n_tokens[value] += n
+                        n_texts[value] += 1
+                    elif value in local[k]:
+                        have = local[k][value]
+                        have[0] += n
+                        have[1] += 1
+                    else:
+                        local[k][value] = [n, 1]
+            return out
+
+        def handed_on() -> list[tuple]:
+            rows = [(f, v, None, n, m) for f, table in zip(fields, local) for v, (n, m) in table.items()]
+            for table in local:
+                table.clear()
+            return rows
+
+        at, open_ = None, []
+        for batch in batches:
+            for text, part, record in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (text, part) != at:
+                    if at and (rows := counted(at[0], open_)):
+                        yield batch_of(rows)
+                    texts += text not in hot and (not at or at[0] != text)
+                    at, open_ = (text, part), []
+                    if sum(map(len, local)) > LOCAL_VALUES:
+                        yield batch_of(handed_on())
+                open_.append(record)
+        if at:
+            yield batch_of(counted(at[0], open_) + handed_on())
+            used = np.flatnonzero(n_texts).tolist()
+            yield batch_of([(*heavy[p], None, int(n_tokens[p]), int(n_texts[p])) for p in used] + [(None, None, None, 0, texts)])
 
-def hot_texts(tokens: DataFrame, share: float = HOT_SHARE) -> list[str]:
-    """Texts with at least ``share`` of all rows; at most 1/share."""
-    sizes = tokens.groupBy("text_id").count()
-    total = tokens.count()
-    return [r[0] for r in sizes.where(F.col("count") >= share * total).select("text_id").collect()] if total else []
+    return run
 
 
-def _counter_arrays(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n_tokens, n_texts = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for pdf in batches:
-            place = pdf["place"].to_numpy()
-            n_tokens += np.bincount(place, weights=pdf["n"].to_numpy(), minlength=size).astype(np.int64)
-            n_texts += np.bincount(place, minlength=size)
-        used = np.flatnonzero(n_texts)
-        yield pd.DataFrame({"place": used.astype("int32"), "n_tokens": n_tokens[used], "n_texts": n_texts[used]})
+def local_counts(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, heavy: list[tuple[str, str]] | None = None, hot: dict[str, int] | None = None) -> DataFrame:
+    """The counts of each task, written once: by value, by value and text for hot texts; rows without field count the texts, or name a hot one."""
+    rows = tokens.where("text_id is not null").select("text_id", "tok_id", *fields)
+    if heavy is None or hot is None:
+        found = detect(rows, fields)
+        heavy, hot = found[0] if heavy is None else heavy, found[1] if hot is None else hot
+    places: dict[str, dict[str, int]] = {f: {} for f in fields}
+    for p, (f, v) in enumerate(heavy):
+        places[f][v] = p
+    packed = rows.mapInArrow(_packer(places, hot, fields), "text_id string, part int, tokens binary")
+    together = packed.repartition("text_id", "part").sortWithinPartitions("text_id", "part")
+    return cut_lineage(together.mapInArrow(_counter(heavy, hot, fields), COUNTED))
 
-    return run
 
+def _united(counts: DataFrame) -> DataFrame:
+    """(field_name, term, n_tokens, n_texts) from the counts of the tasks."""
+    by_text = counts.where("field_name is not null and text_id is not null").groupBy("field_name", "term", "text_id").agg(F.sum("n_tokens").alias("n_tokens"), F.lit(1).cast("long").alias("n_texts"))
+    whole = counts.where("field_name is not null and text_id is null").unionByName(by_text)
+    return whole.groupBy("field_name", "term").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_texts").alias("n_texts"))
 
-def term_counts(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, heavy: list[tuple[str, str]] | None = None, hot: list[str] | None = None) -> DataFrame:
+
+def term_counts(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, heavy: list[tuple[str, str]] | None = None, hot: dict[str, int] | None = None) -> DataFrame:
     """(field_name, term, n_tokens, n_texts) for every distinct value of ``fields``."""
-    spark = tokens.sparkSession
-    rows = tokens.where("text_id is not null and tok_id is not null").select("text_id", "tok_id", *fields)
-    heavy = heavy_terms(rows, fields) if heavy is None else heavy
-    hot = hot_texts(rows) if hot is None else hot
-    if hot:
-        part = F.when(F.col("text_id").isin(hot), F.pmod(F.xxhash64("tok_id"), F.lit(HOT_PARTS))).otherwise(-1)
-        rows, key = rows.withColumn("part", part.cast("int")), ["text_id", "part"]
-    else:  # a constant part would be taken out of the groups, and their partitioning with it
-        key = ["text_id"]
-    once = rows.repartition(*key).groupBy(*key, "tok_id", *fields).agg(F.lit(1).alias("one"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields])
-    flat = once.select(*key, F.inline(pairs)).where("term is not null and term <> ''")
-    per_text = flat.groupBy(*key, "field_name", "term").agg(F.count("*").alias("n"))
-
-    merge = [F.sum("n_tokens").alias("n_tokens"), F.sum("n_texts").alias("n_texts")]
-    light_texts = per_text.where("part = -1") if hot else per_text
-    places = spark.createDataFrame([(f, t, i) for i, (f, t) in enumerate(heavy)], "field_name string, term string, place int")
-    marked = light_texts.join(F.broadcast(places), ["field_name", "term"], "left") if heavy else light_texts.withColumn("place", F.lit(None).cast("int"))
-    parts = [marked.where("place is null").groupBy("field_name", "term").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_texts"))]
-    if heavy:
-        counted = marked.where("place is not null").select("place", "n").mapInPandas(_counter_arrays(len(heavy)), "place int, n_tokens long, n_texts long")
-        parts.append(counted.groupBy("place").agg(*merge).join(F.broadcast(places), "place").select("field_name", "term", "n_tokens", "n_texts"))
-    if hot:
-        one_text = per_text.where("part >= 0").groupBy("field_name", "term", "text_id").agg(F.sum("n").alias("n"))
-        parts.append(one_text.groupBy("field_name", "term").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_texts")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("field_name", "term").agg(*merge) if hot else union
-
-
-def marked_terms(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, common_share: float = 1 / 3) -> DataFrame:
+    return _united(local_counts(tokens, fields, heavy, hot))
+
+
+def marked_terms(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, common_share: float = 1 / 3, hot: dict[str, int] | None = None) -> DataFrame:
     """``term_counts`` with the mark of the too rare and the too common."""
-    n_texts = tokens.where("text_id is not null").agg(F.count_distinct("text_id")).first()[0]
+    counts = local_counts(tokens, fields, hot=hot)
+    row = counts.where("field_name is null").agg(F.sum("n_texts"), F.count_distinct("text_id")).first()  # hot texts by name, as several tasks have parts of one
+    n_texts = (row[0] or 0) + row[1]
     common = F.col("n_texts") > F.lit(common_share * n_texts) if common_share != 1 / 3 else F.col("n_texts") * 3 > F.lit(n_texts)
     mark = F.when(F.col("n_texts") == 1, "rare").when(common, "common")
-    return term_counts(tokens, fields).withColumn("mark", mark)
+    return _united(counts).withColumn("mark", mark)

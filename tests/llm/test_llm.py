@@ -55,11 +55,12 @@ def test_mixture_of_clear_rates():
 # --- p5 -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("heavy,hot", [(None, None), ([("lemma", "w1"), ("wf", "W2")], []), ([], ["t0", "t1"]), ([("lemma", "w1")], ["t0"])])
-def test_frequencies_match_brute_force(spark, heavy, hot):
+@pytest.mark.parametrize("heavy,hot", [(None, None), ([("lemma", "w1"), ("wf", "W2")], {}), ([], {"t0": 3, "t1": 2}), ([("lemma", "w1")], {"t0": 4})])
+def test_frequencies_match_brute_force(spark, monkeypatch, heavy, hot):
     rng = random.Random(2)
     texts = {f"t{i}": [rng.choice(["w1", "w2", f"w{rng.randint(3, 60)}", None, ""]) for _ in range(rng.randint(1, 60))] for i in range(25)}
-    df = tokens_of(spark, texts)
+    df = tokens_of(spark, texts).repartition(5)
+    monkeypatch.setattr(frequencies, "LOCAL_VALUES", 20)
     got = {(r.field_name, r.term): (r.n_tokens, r.n_texts) for r in frequencies.term_counts(df, heavy=heavy, hot=hot).collect()}
     want = {}
     for t, ws in texts.items():
@@ -74,9 +75,23 @@ def test_marks_and_empty_table(spark):
     df = tokens_of(spark, {"a": ["x", "y"], "b": ["x"], "c": ["x", "z"], "d": ["z"]})
     got = {(r.field_name, r.term): r.mark for r in frequencies.marked_terms(df).collect()}
     assert got["lemma", "x"] == "common" and got["lemma", "y"] == "rare" and got["lemma", "z"] == "common"
+    assert {(r.field_name, r.term): r.mark for r in frequencies.marked_terms(df.repartition(3), hot={"a": 2, "c": 3}).collect()} == got
     assert frequencies.marked_terms(df.limit(0)).count() == 0
 
 
+def test_a_token_that_comes_twice_counts_once_for_each_of_its_values(spark):
+    rows = [("a", "1", "x", "X"), ("a", "1", "x", "Y"), ("a", None, "z", "Z"), ("b", None, "x", "X"), (None, "2", "x", "X")]
+    got = {(r.field_name, r.term): (r.n_tokens, r.n_texts, r.mark) for r in frequencies.marked_terms(spark.createDataFrame(rows, "text_id string, tok_id string, lemma string, wf string")).collect()}
+    assert got == {("lemma", "x"): (1, 1, "rare"), ("wf", "X"): (1, 1, "rare"), ("wf", "Y"): (1, 1, "rare")}
+
+
+def test_detection_is_of_what_is_heavy_and_hot(spark, monkeypatch):
+    monkeypatch.setattr(frequencies, "HOT_ROWS", 50)
+    rows = [("hot", str(i), "the" if i % 2 else f"w{i}", None) for i in range(4000)] + [(f"t{i}", f"u{i}", None, "") for i in range(2000)]
+    heavy, hot = frequencies.detect(spark.createDataFrame(rows, "text_id string, tok_id string, lemma string, wf string"))
+    assert ("lemma", "the") in heavy and len(heavy) < 900 and set(hot) == {"hot"} and hot["hot"] >= 80
+
+
 # --- p3 -----------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, vectors array<double>, _max string"
