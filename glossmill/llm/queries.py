@@ -46,7 +46,7 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.inconsistent_values(table(spark, d, "tokens"), table(spark, d, "texts")).select("tok_id", "field_name")
+    return lookalikes.inconsistent_values(table(spark, d, "tokens"), table(spark, d, "texts")).select("tok_id", "field_name").distinct()
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:

@@ -224,6 +224,7 @@ def test_consistent_forms(spark):
         ("en", "ｅｎｚｙｍｅ", "enzyme"), ("en", "сoffeе", "coffee"), ("en", "café", "café"), ("en", "e​́", "é"), ("en", "coﬀee", "coffee"),
         ("en", "a b ", "a b"), ("en", "сору", "copy"), ("ru", "cлyчай", "случай"), ("el", "ρεvμή", "ρενμή"), ("tr", "ş", "ş"), ("en", "​", ""), ("xx", "сoffee", None),
         ("en", "β-carotene", None), ("en", "Щебень", None), ("ru", "T-0007", None), ("en", "μ", None), ("en", "Δt", None), ("ru", "это", None), ("en", "a  b", None), (None, "ok", None),
+        ("en", "well\u2011known", "well-known"), ("en", "\U0001d41a\U0001d41b", "ab"), ("en", "\u2167", "VIII"), ("ar", "\ufeb3\ufedc", "\u0633\u0643"), ("en", "\u13aarm", "Arm"), ("en", "d\u0585g", "dog"), ("ru", "qx-0015862", None), ("en", "\u24d0", None), ("en", "x\u00b2", None), ("el", "\u03bf\u0441\u03bf", None),
     ]
     tokens = spark.createDataFrame([(f"k{i}", f"t{lang}", v, None) for i, (lang, v, _) in enumerate(cases)] * 2 + [("n", "ten", None, "")], "tok_id string, text_id string, lemma string, wf string")
     texts = spark.createDataFrame([(f"t{lang}", lang) for lang in {c[0] for c in cases} if lang], "text_id string, lang string")
@@ -232,13 +233,27 @@ def test_consistent_forms(spark):
     assert lookalikes.inconsistent_values(tokens.limit(0), texts).count() == 0
 
 
+def test_a_heavy_value_and_a_public_look_alike_file(spark, tmp_path):
+    rows = [(f"k{i}", "t", "e\u200ba" if i % 3 else "a\u00a0b", f"w{i}") for i in range(90)]
+    tokens, texts = spark.createDataFrame(rows, "tok_id string, text_id string, lemma string, wf string"), spark.createDataFrame([("t", "en")], "text_id string, lang string")
+    assert {(r.value, r.form) for r in lookalikes.inconsistent_values(tokens, texts).collect()} == {("e\u200ba", "ea"), ("a\u00a0b", "a b")}
+    assert lookalikes.inconsistent_values(tokens, texts).count() == 90
+    (tmp_path / "c.txt").write_text("\ufeff# public\n0430 ;\t0061 ;\tMA\t# a\n03B1 ; 0061 ; MA\n0031 ; 006C ; MA\n0132 ; 0049 004A ; MA\n", encoding="utf-8")
+    got = lookalikes.read_look_alikes(str(tmp_path / "c.txt"))
+    assert {("Latin", "\u0430", "a"), ("Greek", "a", "\u03b1"), ("Cyrillic", "\u03b1", "\u0430")} <= set(got) and not any("1" in r for r in got)
+    values = spark.createDataFrame([("Latin", "c\u0430t")], "script string, value string")
+    assert lookalikes.consistent_values(values, got).first().form == "cat"
+
+
 def test_values_passed_over_never_change(spark):
     rng = random.Random(6)
-    letters = "abcxyzéñABCабвдежяАБВαβγοωΑΒΓ 1-'.ｅ́​"
+    letters = "abcxyzéñıŀĳABCабвдежяАБВαβγοωΑΒΓ 1-'.ｅ́​"
     values = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(600)})
     df = spark.createDataFrame([(v,) for v in values], "value string").where(F.col("value").rlike(lookalikes.SURE))
     every = df.select(F.explode(F.array(*[F.lit(s) for s in ("Latin", "Cyrillic", "Greek", "")])).alias("script"), "value")
     assert lookalikes.consistent_values(every).where("form <> value").count() == 0 and df.count() > 50
+    own = spark.createDataFrame([(s, v) for s in lookalikes.LETTERS for v in values], "script string, value string").where(lookalikes.sure_in(F.col("script"), F.col("value")))
+    assert lookalikes.consistent_values(own).where("form <> value").count() == 0 and own.count() > 50
 
 
 def test_decompositions_follow_the_character_database():
