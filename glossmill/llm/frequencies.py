@@ -25,8 +25,6 @@ Defined results
 
 from __future__ import annotations
 
-import marshal
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,11 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.context import cut_lineage
+from glossmill.llm.packing import hot_texts, packed_texts, text_sketch, unpacked
 
 #: A value is heavy from this share of a field's rows on; at most its inverse can be.
 HEAVY_SHARE = 1 / 1000
-#: A text is hot from this share of all rows on, and spread over a task for each so many rows.
-HOT_SHARE, HOT_ROWS = 1 / 2000, 200_000
 #: Values of a task's local table; when full, it is handed on.
 LOCAL_VALUES = 400_000
 FIELDS = ("lemma", "wf")
@@ -50,42 +47,9 @@ COUNTED = "field_name string, term string, text_id string, n_tokens long, n_text
 def detect(tokens: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """Heavy (field, value) pairs and hot texts with the number of tasks that share one; one pass, bounded results."""
     sketches = [F.expr(f"approx_top_k(nullif({f}, ''), {int(1 / HEAVY_SHARE)}, {int(10 / HEAVY_SHARE)})").alias(f"_{k}") for k, f in enumerate(fields)]
-    texts = F.expr(f"approx_top_k(text_id, {int(1 / HOT_SHARE)}, {int(10 / HOT_SHARE)})").alias("_texts")
-    row = tokens.agg(F.count("*").alias("rows"), *sketches, texts).first()
+    row = tokens.agg(F.count("*").alias("rows"), *sketches, text_sketch().alias("_texts")).first()
     heavy = [(f, x["item"]) for k, f in enumerate(fields) for x in row[f"_{k}"] or [] if x["item"] is not None and x["count"] >= HEAVY_SHARE * row["rows"]]
-    least = max(HOT_SHARE * row["rows"], HOT_ROWS)
-    hot = {x["item"]: -(-x["count"] // HOT_ROWS) for x in row["_texts"] or [] if x["item"] is not None and x["count"] >= least}
-    return heavy, hot
-
-
-def _packer(places: dict[str, dict[str, int]], hot: dict[str, int], fields: tuple[str, ...]):
-    """Records (text_id, part, tokens) of the texts of each block: ids, and for each field values or places of heavy ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).dictionary_encode()
-            names, code = texts.dictionary.to_pylist(), texts.indices.to_numpy()
-            ids = batch.column(1).to_pylist()
-            part = np.zeros(len(code), dtype=np.int64)
-            for k, name in enumerate(names):
-                if (parts := hot.get(name, 1)) > 1:
-                    for i in np.flatnonzero(code == k):
-                        part[i] = zlib.crc32((ids[i] or "").encode()) % parts
-            order = np.lexsort((part, code))
-            cuts = np.flatnonzero(np.diff(code[order]) | np.diff(part[order])) + 1
-            values = []
-            for k, f in enumerate(fields):
-                at = places[f].get
-                values.append([None if not v else at(v, v) for v in batch.column(2 + k).take(pa.array(order)).to_pylist()])
-            ids = [ids[i] for i in order]
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-                out[0].append(names[code[order[a]]])
-                out[1].append(int(part[order[a]]))
-                out[2].append(zlib.compress(marshal.dumps((ids[a:b], [v[a:b] for v in values])), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["text_id", "part", "tokens"])
-
-    return run
+    return heavy, hot_texts(row["_texts"], row["rows"])
 
 
 def _counter(heavy: list[tuple[str, str]], hot: dict[str, int], fields: tuple[str, ...]):
@@ -100,15 +64,8 @@ def _counter(heavy: list[tuple[str, str]], hot: dict[str, int], fields: tuple[st
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["field_name", "term", "text_id", "n_tokens", "n_texts"])
 
-        def counted(text: str, records: list[bytes]) -> list[tuple]:
+        def counted(text: str, ids: list, values: list[list]) -> list[tuple]:
             """Counts one text, or one part of a hot one, whose counts come out by text."""
-            ids: list = []
-            values: list[list] = [[] for _ in fields]
-            for record in records:
-                more, columns = marshal.loads(zlib.decompress(record))
-                ids += more
-                for have, column in zip(values, columns):
-                    have += column
             out = [(None, None, text, 0, 0)] if text in hot else []
             for k, column in enumerate(values):
                 pairs = set(zip(ids, column))
@@ -132,21 +89,17 @@ def _counter(heavy: list[tuple[str, str]], hot: dict[str, int], fields: tuple[st
                 table.clear()
             return rows
 
-        at, open_ = None, []
-        for batch in batches:
-            for text, part, record in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if (text, part) != at:
-                    if at and (rows := counted(at[0], open_)):
-                        yield batch_of(rows)
-                    texts += text not in hot and (not at or at[0] != text)
-                    at, open_ = (text, part), []
-                    if sum(map(len, local)) > LOCAL_VALUES:
-                        yield batch_of(handed_on())
-                open_.append(record)
-        if at:
-            yield batch_of(counted(at[0], open_) + handed_on())
+        before = None
+        for text, ids, values in unpacked(batches, len(fields)):
+            texts += text not in hot and text != before
+            before = text
+            if rows := counted(text, ids, values):
+                yield batch_of(rows)
+            if sum(map(len, local)) > LOCAL_VALUES:
+                yield batch_of(handed_on())
+        if before is not None:
             used = np.flatnonzero(n_texts).tolist()
-            yield batch_of([(*heavy[p], None, int(n_tokens[p]), int(n_texts[p])) for p in used] + [(None, None, None, 0, texts)])
+            yield batch_of(handed_on() + [(*heavy[p], None, int(n_tokens[p]), int(n_texts[p])) for p in used] + [(None, None, None, 0, texts)])
 
     return run
 
@@ -160,8 +113,7 @@ def local_counts(tokens: DataFrame, fields: tuple[str, ...] = FIELDS, heavy: lis
     places: dict[str, dict[str, int]] = {f: {} for f in fields}
     for p, (f, v) in enumerate(heavy):
         places[f][v] = p
-    packed = rows.mapInArrow(_packer(places, hot, fields), "text_id string, part int, tokens binary")
-    together = packed.repartition("text_id", "part").sortWithinPartitions("text_id", "part")
+    together = packed_texts(rows, fields, hot, places)
     return cut_lineage(together.mapInArrow(_counter(heavy, hot, fields), COUNTED))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.llm import frequencies, lookalikes, mixing, neighbours, residue, sentences, tokenizer, weights
+from glossmill.llm import frequencies, lookalikes, mixing, neighbours, packing, residue, sentences, tokenizer, weights
 
 TOKENS = "text_id string, tok_id string, lemma string, wf string, extra string"
 
@@ -52,6 +52,36 @@ def test_mixture_of_clear_rates():
     assert rates[1, 0] > 8 and rates[0, 0] < 2 and p[3] > 0.99 and p[0] < 0.1 and 0.05 < elite[0] < 0.15
 
 
+def test_mixtures_settle_where_plain_steps_do_and_do_not_depend_on_their_block():
+    rng = random.Random(12)
+    shapes = [{k: max(1, round(100 * 0.5**k)) for k in range(1, 9)}, {1: 3}, {1: 1}, {7: 1}, {1: 4000, 2: 500, 3: 300}, {4: 1, 200: 1}]
+    shapes += [{k: rng.randint(1, 50) for k in rng.sample(range(1, 30), rng.randint(1, 6))} for _ in range(60)]
+    flat = [(k, n) for s in shapes for k, n in sorted(s.items())]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in shapes])[:-1]])
+    k, n = (np.array([x[c] for x in flat], dtype=float) for c in (0, 1))
+    elite, rates, p = weights.fit_mixtures(starts, k, n, 5000.0)
+    h = weights.Histograms(starts, k, n, 5000.0)
+    got = np.column_stack([elite, *rates])
+    assert np.allclose(h.step(got), got, rtol=1e-6)
+    plain = h.first()
+    for _ in range(4000):
+        plain = h.step(plain)
+    assert (h.likelihood(got) >= h.likelihood(plain) - 1e-6).all()
+    assert abs(elite[0] - plain[0, 0]) < 1e-6 and np.abs(p[:8] - h.posterior(plain)[:8]).max() < 1e-4
+    for i in (0, 3, 20):
+        one = weights.fit_mixtures(np.array([0]), *(np.array([x[c] for x in sorted(shapes[i].items())], dtype=float) for c in (0, 1)), 5000.0)
+        assert abs(one[0][0] - elite[i]) <= 1e-12
+
+
+def test_term_frequencies_of_hot_texts_and_heavy_points(spark, monkeypatch):
+    df = tokens_of(spark, {f"t{i}": ["the"] * (i % 3 + 1) + [f"w{i}"] for i in range(40)} | {"hot": ["the", "x"] * 50}).repartition(4)
+    plain = {(r.text_id, r.term): r.tf for r in weights.term_frequencies(df, hot={}).collect()}
+    assert plain == {(r.text_id, r.term): r.tf for r in weights.term_frequencies(df, hot={"hot": 5}).collect()} and plain["hot", "the"] == 50
+    want = {tuple(r) for r in weights.term_weights(df).collect()}
+    monkeypatch.setattr(weights, "HEAVY_SHARE", 1.1)
+    assert {tuple(r) for r in weights.term_weights(df).collect()} == want and len(want) == len(plain)
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
@@ -86,7 +116,7 @@ def test_a_token_that_comes_twice_counts_once_for_each_of_its_values(spark):
 
 
 def test_detection_is_of_what_is_heavy_and_hot(spark, monkeypatch):
-    monkeypatch.setattr(frequencies, "HOT_ROWS", 50)
+    monkeypatch.setattr(packing, "HOT_ROWS", 50)
     rows = [("hot", str(i), "the" if i % 2 else f"w{i}", None) for i in range(4000)] + [(f"t{i}", f"u{i}", None, "") for i in range(2000)]
     heavy, hot = frequencies.detect(spark.createDataFrame(rows, "text_id string, tok_id string, lemma string, wf string"))
     assert ("lemma", "the") in heavy and len(heavy) < 900 and set(hot) == {"hot"} and hot["hot"] >= 80
