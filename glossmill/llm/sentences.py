@@ -1,7 +1,9 @@
 """Sentence units of every text, in any language and script.
 
-A pushdown automaton reads the marks of a text. Its stack holds the open quotations and brackets;
-no mark inside them ends a sentence. Abbreviations are found in a trie read backwards from the
+A pushdown automaton reads the marks of a text. A first stack holds the open levels of lists: each
+line that goes on a list, or opens one of at least two items, starts a unit, with its number or
+bullet. Within a unit a second stack holds the open quotations and brackets; no mark inside them ends
+a sentence. Abbreviations are found in a trie read backwards from the
 full stop; terminators are those of the script at hand. The units come out as offsets.
 
 Rules are chosen by the characters around a mark, so a wrong or null language does no harm; the
@@ -50,8 +52,19 @@ dezember jahrestag kapitel klasse stock mal platz
 """
 #: Words that open a German sentence, so that a number before them has ended one.
 GERMAN_OPENERS = "der die das ein eine einer einem einen er sie es im in am an viele dr prof wo wer wie was und aber"
-#: Verbs of speech after a speaker's name.
-SPEECH = "said asked replied answered wrote cried added shouted whispered explained"
+#: Verbs of speech after a speaker's name, by language.
+SPEECH = {
+    "en": "said asked replied answered wrote cried added shouted whispered explained called says asks",
+    "de": "sagte fragte antwortete rief schrieb erklärte meinte flüsterte erwiderte",
+    "fr": "dit demanda répondit cria écrivit ajouta murmura expliqua",
+    "es": "dijo preguntó respondió gritó escribió añadió explicó contestó",
+    "it": "disse chiese rispose gridò scrisse aggiunse spiegò",
+    "pt": "disse perguntou respondeu gritou escreveu acrescentou explicou",
+    "nl": "zei vroeg antwoordde riep schreef voegde",
+    "tr": "dedi sordu yazdı bağırdı ekledi",
+    "ru": "сказал сказала спросил спросила ответил ответила написал написала крикнул крикнула",
+    "el": "είπε ρώτησε απάντησε έγραψε φώναξε",
+}
 
 ALWAYS = "。！？｡؟۔।॥።։᙮"
 CASED = "!?"
@@ -69,7 +82,17 @@ _NUMBERED = regex.compile(r"[\W_]*(?:\p{L}+\s+)?\d+(?:\.\d+)*\.(?=\s)")
 _SINGLE_CLOSE = regex.compile(r"[.,!?…]'(?![\p{L}\p{N}])")
 _NOTE = regex.compile(r"\[\d{1,4}\]")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.\-']+\Z")
-_SPEAKER = regex.compile(r"\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*){0,2}\s+(?:" + "|".join(SPEECH.split()) + r")\b")
+#: A line that is an item of a list: its indent, then a number, a letter or a bullet.
+_ITEM = regex.compile(rf"(?:(?<={_LINE_END})|\A|(?<=\u2029))(?P<indent>[^\S\n\r\u0085\u2028]*)(?:(?P<number>\d{{1,4}}|[a-z])(?P<end>[.)])|(?P<bullet>[-*•‣◦·]))[^\S\n\r\u0085\u2028]+(?=\S)")
+
+
+def speaker_pattern(verbs: dict[str, str] = SPEECH) -> regex.Pattern:
+    """A capitalised name of up to three words and a verb of speech of any of the languages, since a text's language may be wrong."""
+    words = "|".join(sorted({w for line in verbs.values() for w in line.split()}))
+    return regex.compile(r"\p{Lu}[\p{L}'’-]*(?:\s+\p{Lu}[\p{L}'’-]*){0,2}\s+(?:" + words + r")\b")
+
+
+_SPEAKER = speaker_pattern()
 _END = "\0"
 
 
@@ -112,27 +135,72 @@ def _skip(text: str, i: int, stop: int) -> int:
 class Automaton:
     """One paragraph at a time: ``units`` gives (start, end) of its sentences."""
 
-    def __init__(self, text: str, lang: str | None) -> None:
-        self.text, self.lang = text, (lang or "").lower()
+    def __init__(self, text: str, lang: str | None, speaker: regex.Pattern = _SPEAKER) -> None:
+        self.text, self.lang, self.speaker = text, (lang or "").lower(), speaker
         self.german = self.lang == "de"
         self.last = len(text.rstrip())
 
     def units(self) -> list[tuple[int, int]]:
         out, at = [], 0
         for gap in _BLANK_LINE.finditer(self.text):
-            out += self.paragraph(at, gap.start())
+            out += self.listed(at, gap.start())
             at = gap.end()
-        return out + self.paragraph(at, len(self.text))
+        return out + self.listed(at, len(self.text))
+
+    def listed(self, start: int, stop: int) -> list[tuple[int, int]]:
+        """The units of one paragraph, each item of a list apart from the others."""
+        items = self.items(start, stop)
+        if not items:
+            return self.paragraph(start, stop)
+        out = self.paragraph(start, items[0][0])
+        for (a, mark), b in zip(items, [x[0] for x in items[1:]] + [stop]):
+            out += self.paragraph(a, b, mark)
+        return out
 
-    def paragraph(self, start: int, stop: int) -> list[tuple[int, int]]:
+    def items(self, start: int, stop: int) -> list[tuple[int, int]]:
+        """(start, place of the mark after the number) of the items of lists, by a stack of the open levels.
+
+        An item goes on a level if it has its indent and bullet or its next number, which closes the
+        levels within. The first number or a bullet opens a level, at the beginning of the paragraph, after
+        a colon or an end mark, or within an item. A level of one item is no list.
+        """
+        levels: list[list] = []  # kind, value, the places of the items, indent
+        every: list[list] = []
+        for m in _ITEM.finditer(self.text, start, stop):
+            number, indent = m["number"], m["indent"]
+            if number:
+                value = int(number) if number.isdigit() else ord(number) - 96
+                kind = (number.isdigit(), m["end"])
+            else:
+                value, kind = 0, (m["bullet"], indent)
+            at = next((i for i in range(len(levels) - 1, -1, -1) if levels[i][0] == kind and value == levels[i][1] + (1 if number else 0)), None)
+            place = (m.end("indent"), m.start("end") if number else -1)
+            if at is not None:
+                del levels[at + 1 :]
+                levels[at][1] = value
+                levels[at][2].append(place)
+            elif value <= 1 and (levels or self.may_open(start, m.start())):
+                again = next((i for i, level in enumerate(levels) if level[0] == kind and level[3] == indent), len(levels))
+                del levels[again:]
+                levels.append([kind, value, [place], indent])
+                every.append(levels[-1])
+        return sorted(p for _, _, places, _ in every if len(places) > 1 for p in places)
+
+    def may_open(self, start: int, i: int) -> bool:
+        while i > start and self.text[i - 1].isspace():
+            i -= 1
+        return i == start or self.text[i - 1] in ":.!?…" + ALWAYS
+
+    def paragraph(self, start: int, stop: int, mark: int = -1) -> list[tuple[int, int]]:
+        """The units of a piece of text without list items inside; ``mark`` is the one after its own number."""
         text = self.text
         while stop > start and (text[stop - 1].isspace() or unicodedata.category(text[stop - 1]) == "Cf"):
             stop -= 1
         begin = _skip(text, start, stop)
         if begin >= stop:
             return []
-        heading = -1
-        if text[stop - 1] not in ".!?…" + ALWAYS and (m := _NUMBERED.match(text, begin, stop)):
+        heading = mark
+        if mark < 0 and text[stop - 1] not in ".!?…" + ALWAYS and (m := _NUMBERED.match(text, begin, stop)):
             heading = m.end() - 1
         self.ends_at = {c: max(text.rfind(x, begin, stop) for x in xs) for c, xs in CLOSER_OF.items()}
         self.ends_at["'"] = max((m.end() - 1 for m in _SINGLE_CLOSE.finditer(text, begin, stop)), default=-1)
@@ -290,7 +358,7 @@ class Automaton:
             return not first and not "ぁ" <= c <= "ゟ"
         if not self.starts_sentence(j, stop, j > end):
             return False
-        return not _SPEAKER.match(text, j, stop)
+        return not self.speaker.match(text, j, stop)
 
     def ends(self, begin: int, i: int, run: str, after: int, stop: int) -> bool:
         """Whether the marks ``run`` at ``i``, with nothing open, end the sentence."""
@@ -337,16 +405,17 @@ class Automaton:
         return self.starts_sentence(j, stop, spaced)
 
 
-def split_text(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+def split_text(text: str | None, lang: str | None = None, speaker: regex.Pattern = _SPEAKER) -> list[tuple[int, int]]:
     """(start, end) of each unit of one text."""
-    return Automaton(text, lang).units() if text else []
+    return Automaton(text, lang, speaker).units() if text else []
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], verbs: dict[str, str] | None = None) -> Iterator[pa.RecordBatch]:
+    speaker = speaker_pattern(verbs) if verbs else _SPEAKER
     for batch in batches:
         ids, numbers, starts, ends, units = [], [], [], [], []
         for key, text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for n, (a, b) in enumerate(split_text(text, lang)):
+            for n, (a, b) in enumerate(split_text(text, lang, speaker)):
                 ids.append(key)
                 numbers.append(n)
                 starts.append(a)
@@ -356,8 +425,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.field(0).name, "sentence_no", "start_char", "end_char", "sentence"])
 
 
-def split_sentences(texts: DataFrame, id_column: str = "uima_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(id, sentence_no, start_char, end_char, sentence) of every text. One shuffle, to count each id once."""
+def split_sentences(texts: DataFrame, id_column: str = "uima_id", text_column: str = "text", lang_column: str = "lang", verbs: dict[str, str] | None = None) -> DataFrame:
+    """(id, sentence_no, start_char, end_char, sentence) of every text; ``verbs`` of speech by language. One shuffle, to count each id once."""
     key = f"{id_column} {texts.schema[id_column].dataType.simpleString()}"
     one = texts.where(F.col(id_column).isNotNull() & (F.length(text_column) > 0)).select(id_column, text_column, lang_column).dropDuplicates([id_column])
-    return one.mapInArrow(_split, f"{key}, sentence_no int, start_char int, end_char int, sentence string")
+    return one.mapInArrow(lambda batches: _split(batches, verbs), f"{key}, sentence_no int, start_char int, end_char int, sentence string")

@@ -226,6 +226,30 @@ def test_long_cut_off_speech_and_headings_are_one_unit():
     assert [text[i:j] for i, j in sentences.split_text(text, "en")] == [text]
 
 
+LISTS = [
+    ("1. Buy milk\n2. Buy bread\n   a. rye\n   b. wheat\n3. Go home", ["1. Buy milk", "2. Buy bread", "a. rye", "b. wheat", "3. Go home"]),
+    ("Take these:\n- salt. It is dear.\n- oil\n  * of olives\n  * of nuts\n- flour", ["Take these:", "- salt.", "It is dear.", "- oil", "* of olives", "* of nuts", "- flour"]),
+    ("He came on the\n1. of May and left\nthen.", ["He came on the\n1. of May and left\nthen."]),
+    ("It was so.\n1) One (a\n2) b). Two", ["It was so.", "1) One (a", "2) b).", "Two"]),
+    ("1. a\n  1. b\n  2. c\n2. d", ["1. a", "1. b", "2. c", "2. d"]),
+    ("a. x\n1. y\n" * 3000, None),
+    ("It is 4\n- 2 he said\nand so on.", ["It is 4\n- 2 he said\nand so on."]),
+]
+
+
+@pytest.mark.parametrize("text,want", LISTS)
+def test_list_items_are_units(text, want):
+    got = [text[a:b] for a, b in sentences.split_text(text, "en")]
+    assert got == want or want is None and got
+
+
+def test_speakers_of_several_languages_and_own_verbs():
+    for text in ('"Halt! Jetzt!" Anna rief.', '"Stop! Now!" Ravi said.', "«Стой!» Анна крикнула."):
+        assert len(sentences.split_text(text, None)) == 1
+    own = sentences.speaker_pattern({"xx": "blurted"})
+    assert len(sentences.split_text('"Stop! Now!" Ravi blurted.', None, own)) == 1 and len(sentences.split_text('"Stop! Now!" Ravi blurted.', None)) == 2
+
+
 def test_marks_that_are_never_closed_are_mere_signs():
     cases = [('He saw (the old one. It fell. "Yes," he said. He left.', 4), ("In the '90s it fell. He said, 'Go.' He left.", 3), ('It was (5" or so) long. It fell. He left.', 3), ("“It fell. He left. “Yes.” The end.", 4), ('The (odd "mark) stood. It fell. He had "two" there.', 3)]
     for text, n in cases:
