@@ -1,9 +1,9 @@
 """Vector lines that cannot be read, set apart with the reason, while the rest load.
 
-A block of lines (an Arrow batch, per number of dimensions) goes through a bulk columnar parse.
-If any line of the block breaks it, the block is bisected until the bad lines stand alone; only
-those are diagnosed line by line. The bulk parse accepts a block only if every line is surely
-right, so it never accepts what the strict check would refuse.
+Lines of one number of dimensions are read in columns, block by block. A block that holds any line
+that is not surely right is bisected until the bad lines stand alone; only those are diagnosed
+line by line. The columnar checks of a batch are made once and shared by all of its blocks, so that
+bisection costs no second parse. They never accept what the strict check would refuse.
 
 Defined results
 ---------------
@@ -57,42 +57,69 @@ def diagnose(line: str | None, dims: int | None) -> tuple[str | None, list[float
     return item, numbers, None
 
 
+#: Lines of a first block.
+BLOCK = 256
+_NUMBERS = r"(?: [+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)*$"
+_PLAIN_LINE = r'^[^ "]+' + _NUMBERS
+_QUOTED_ITEM = r'^"(?:[^"]|"")+"'
+_QUOTED_LINE = _QUOTED_ITEM + _NUMBERS
+#: A number that may be too large to be finite: one with an exponent, or of very many digits.
+_LARGE = r" [^ ]*(?:[eE]|[0-9]{300})"
+
+
+class Columns:
+    """The lines of a batch as columns: which are surely right, and their items and numbers."""
+
+    def __init__(self, lines: pa.Array, dims: int) -> None:
+        self.dims = dims
+        trimmed = pc.utf8_rtrim_whitespace(pc.fill_null(lines, ""))
+        quoted = pc.match_substring(trimmed, '"')
+        shape = pc.if_else(quoted, pc.match_substring_regex(trimmed, _QUOTED_LINE), pc.match_substring_regex(trimmed, _PLAIN_LINE))
+        # the numbers alone: a quoted item may hold spaces
+        self.quoted = quoted.to_numpy(zero_copy_only=False)
+        bare = pc.replace_substring_regex(trimmed, _QUOTED_ITEM, "q") if self.quoted.any() else trimmed
+        counted = pc.equal(pc.count_substring(bare, " "), dims)
+        ended = pc.invert(pc.match_substring(trimmed, "\n"))  # the end of a pattern would let a last line feed pass
+        self.right = pc.and_(pc.and_(shape, counted), ended).to_numpy(zero_copy_only=False).copy()
+        self.trimmed, self.bare = trimmed, bare
+        large = np.flatnonzero(self.right & pc.match_substring_regex(bare, _LARGE).to_numpy(zero_copy_only=False))
+        if len(large):
+            self.right[large] = np.isfinite(self.numbers(large)).all(axis=1)
+
+    def cells(self, rows: np.ndarray) -> pa.Array:
+        return pc.split_pattern(self.bare.take(pa.array(rows)), " ").flatten()
+
+    def numbers(self, rows: np.ndarray) -> np.ndarray:
+        """The (n, dims) matrix of right lines."""
+        cells = self.cells(rows)
+        keep = np.ones(len(cells), dtype=bool)
+        keep[:: self.dims + 1] = False
+        return cells.filter(pa.array(keep)).to_numpy(zero_copy_only=False).astype("U").astype(np.float64).reshape(-1, self.dims)
+
+    def items(self, rows: np.ndarray) -> list[str]:
+        names = self.cells(rows)[:: self.dims + 1].to_pylist()
+        for k in np.flatnonzero(self.quoted[rows]):
+            names[k] = _QUOTED.match(self.trimmed[int(rows[k])].as_py())[1].replace('""', '"')
+        return names
+
+
 def bulk_parse(lines: pa.Array, dims: int) -> tuple[pa.Array, np.ndarray] | None:
-    """Items and an (n, dims) matrix of a block without any bad or quoted line, else None."""
-    if lines.null_count or pc.any(pc.match_substring(lines, '"')).as_py():
-        return None
-    lines = pc.utf8_rtrim_whitespace(lines)
-    if not pc.all(pc.equal(pc.count_substring(lines, " "), dims)).as_py():
-        return None
-    cells = pc.split_pattern(lines, " ").flatten()
-    first = np.arange(0, len(cells), dims + 1)
-    items = cells.take(pa.array(first))
-    if not pc.all(pc.greater(pc.binary_length(items), 0)).as_py():
-        return None
-    rest = np.ones(len(cells), dtype=bool)
-    rest[first] = False
-    numbers = cells.filter(pa.array(rest))
-    if not pc.all(pc.match_substring_regex(numbers, NUMBER)).as_py():
-        return None
-    # the regular expression's end mark would let a last line feed pass
-    if pc.any(pc.match_substring(numbers, "\n")).as_py():
-        return None
-    values = numbers.to_numpy(zero_copy_only=False).astype("U").astype(np.float64)
-    if not np.isfinite(values).all():
-        return None
-    return items, values.reshape(-1, dims)
-
-
-def _bisect(lines: pa.Array, places: np.ndarray, dims: int, good: list, bad: list) -> None:
-    parsed = bulk_parse(lines, dims)
-    if parsed is not None:
-        good.append((places, *parsed))
-    elif len(lines) == 1:
-        bad.append(int(places[0]))
+    """Items and an (n, dims) matrix of a block without any line in doubt, else None."""
+    columns = Columns(lines, dims)
+    rows = np.arange(len(lines))
+    return (pa.array(columns.items(rows)), columns.numbers(rows)) if columns.right.all() else None
+
+
+def _bisect(right: np.ndarray, start: int, stop: int, good: list[tuple[int, int]], bad: list[int]) -> None:
+    """The ranges of a block that are right throughout, and its bad lines."""
+    if right[start:stop].all():
+        good.append((start, stop))
+    elif stop - start == 1:
+        bad.append(start)
     else:
-        half = len(lines) // 2
-        _bisect(lines.slice(0, half), places[:half], dims, good, bad)
-        _bisect(lines.slice(half), places[half:], dims, good, bad)
+        half = (start + stop) // 2
+        _bisect(right, start, half, good, bad)
+        _bisect(right, half, stop, good, bad)
 
 
 def _reader(with_values: bool):
@@ -104,18 +131,22 @@ def _reader(with_values: bool):
                 continue
             lines = batch.column("line").cast(pa.string())
             dims = batch.column("num_dimensions").to_pandas().to_numpy(dtype=float, na_value=np.nan)
-            good: list = []
-            bad = list(np.flatnonzero(np.isnan(dims)))
-            for d in np.unique(dims[~np.isnan(dims)]):
-                places = np.flatnonzero(dims == d)
-                _bisect(lines.take(pa.array(places)), places, int(d), good, bad)
             item: list = [None] * batch.num_rows
             vectors: list = [None] * batch.num_rows
             reason: list = [None] * batch.num_rows
-            if with_values:
-                for places, items, values in good:
-                    for k, i in enumerate(places):
-                        item[i], vectors[i] = items[k].as_py(), values[k]
+            bad = list(np.flatnonzero(np.isnan(dims)))
+            for d in np.unique(dims[~np.isnan(dims)]):
+                places = np.flatnonzero(dims == d)
+                columns = Columns(lines.take(pa.array(places)), int(d))
+                good: list[tuple[int, int]] = []
+                wrong: list[int] = []
+                for start in range(0, len(places), BLOCK):
+                    _bisect(columns.right, start, min(start + BLOCK, len(places)), good, wrong)
+                bad += places[wrong].tolist()
+                if with_values and good:
+                    rows = np.concatenate([np.arange(a, b) for a, b in good])
+                    for i, name, values in zip(places[rows], columns.items(rows), columns.numbers(rows)):
+                        item[i], vectors[i] = name, values
             for i in bad:
                 d = dims[i]
                 one = diagnose(lines[int(i)].as_py(), None if np.isnan(d) else int(d))
