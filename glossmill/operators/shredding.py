@@ -1,9 +1,11 @@
 """Deeply nested corpus batches to flat tables (columnar shredding).
 
-Each record is walked once into one stream per repeated ancestor. A stream holds, for every
-entry, the repetition level (which repeated ancestor starts anew) and the definition level (how
-deep the path is defined), as in columnar file formats. The flat tables are then rebuilt from the
-level sequences alone, with array arithmetic over a whole Arrow batch.
+Every leaf path (the id of a text, of a sentence and of a token, and a token's lemma, pos and wf)
+becomes one stream of values with, for every entry, the repetition level (which repeated ancestor
+starts anew) and the definition level (how deep the path is defined), as in columnar file formats.
+Nested columns are shredded by array arithmetic on their offsets, JSON payloads by one walk over each
+record. The flat table of each repeated ancestor is then rebuilt from the streams of its leaves, with
+array arithmetic on the level sequences alone.
 
 Defined results
 ---------------
@@ -22,7 +24,8 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +87,23 @@ def _roots(payload: str | None) -> list:
     return [x for corpus in as_array(_member(value, ("corpus",))) for x in as_array(_member(corpus, LEVEL_NAMES[0]))]
 
 
+#: Leaf paths: the level of the repeated ancestor (0 text, 1 sentence, 2 token) and the member.
+LEAVES = ((0, "id"), (1, "id"), (2, "id"), (2, "lemma"), (2, "pos"), (2, "wf"))
+#: Batches shredded at a time.
+CHUNK = 256
+
+
 class LevelStreams:
-    """One stream of (repetition, definition) levels and leaf values per repeated ancestor."""
+    """One stream of repetition levels, definition levels and values per leaf path.
+
+    The definition level counts the defined members of the path: one for each ancestor, and one
+    more where the leaf itself has a value.
+    """
 
     def __init__(self) -> None:
-        self.rep: list[list[int]] = [[], [], []]
-        self.dfn: list[list[int]] = [[], [], []]
-        self.leaf: list[list[object]] = [[], [], []]
+        self.rep: list[list[int]] = [[] for _ in LEAVES]
+        self.dfn: list[list[int]] = [[] for _ in LEAVES]
+        self.value: list[list[str | None]] = [[] for _ in LEAVES]
 
     def add(self, roots: list) -> None:
         """Append one batch; repetition level 0 opens it in every stream."""
@@ -98,19 +111,68 @@ class LevelStreams:
 
     def _walk(self, records: list, depth: int, rep: int) -> None:
         if not records:
-            for below in range(depth, 3):
-                self._put(below, rep, depth, None)
+            for k, (level, _) in enumerate(LEAVES):
+                if level >= depth:
+                    self._put(k, rep, depth, None)
             return
         for record in records:
-            self._put(depth, rep, depth + 1, record)
+            for k, (level, name) in enumerate(LEAVES):
+                if level == depth:
+                    value = _leaf(record, name, depth)
+                    self._put(k, rep, depth + 1 + (value is not None), value)
             if depth < 2:
                 self._walk(as_array(_member(record, LEVEL_NAMES[depth + 1])), depth + 1, rep)
             rep = depth + 1
 
-    def _put(self, depth: int, rep: int, dfn: int, record: object) -> None:
-        self.rep[depth].append(rep)
-        self.dfn[depth].append(dfn)
-        self.leaf[depth].append(record)
+    def _put(self, k: int, rep: int, dfn: int, value: str | None) -> None:
+        self.rep[k].append(rep)
+        self.dfn[k].append(dfn)
+        self.value[k].append(value)
+
+    def streams(self) -> list[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        return [(np.array(r, dtype=np.int64), np.array(d, dtype=np.int64), pa.array(v, pa.string())) for r, d, v in zip(self.rep, self.dfn, self.value)]
+
+
+def nested_streams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """The streams of a nested column, from its offsets; members that its type lacks have no values."""
+
+    def member(records: pa.Array, name: str) -> pa.Array | None:
+        known = isinstance(records, pa.StructArray) and records.type.get_field_index(name) >= 0
+        return pc.struct_field(records, name) if known else None
+
+    streams: list = [None] * len(LEAVES)
+    rep, dfn = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    record = np.arange(len(texts))  # the record of the level above that an entry is of, -1 where the path has ended
+    lists: pa.Array | None = texts
+    for depth in range(3):
+        if lists is None:
+            records, count = None, np.zeros(int(record.max(initial=-1)) + 1, dtype=np.int64)
+        else:
+            owner, records = pc.list_parent_indices(lists), pc.list_flatten(lists)
+            there = pc.is_valid(records)
+            records = records.filter(there)
+            count = np.bincount(owner.filter(there).to_numpy(), minlength=len(lists))
+        first = np.cumsum(count) - count
+        live = record >= 0
+        children = np.zeros(len(record), dtype=np.int64)
+        children[live] = count[record[live]]
+        times = np.maximum(children, 1)
+        entry = np.repeat(np.arange(len(record)), times)
+        within = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+        real = children[entry] > 0
+        rep, dfn = np.where(within == 0, rep[entry], depth + 1), np.where(real, depth + 1, dfn[entry])
+        record = np.where(real, np.where(live[entry], first[np.maximum(record[entry], 0)] if len(first) else 0, 0) + within, -1)
+        for k, (level, name) in enumerate(LEAVES):
+            if level == depth:
+                values = member(records, name) if records is not None else None
+                if values is None:
+                    streams[k] = (rep, dfn, pa.nulls(len(rep), pa.string()))
+                else:
+                    at = pa.array(np.where(real, record, 0), mask=~real)
+                    taken = values.cast(pa.string()).take(at)
+                    streams[k] = (rep, dfn + taken.is_valid().to_numpy(zero_copy_only=False), taken)
+        lists = member(records, LEVEL_NAMES[depth + 1][0]) if records is not None and depth < 2 else None
+    return streams
 
 
 def ordinals(rep: np.ndarray, dfn: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -137,25 +199,36 @@ def _leaf(record: object, name: str, depth: int) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        streams = LevelStreams()
-        for payload in pdf["payload"]:
-            streams.add(_roots(payload))
-        ids = pdf["batch_id"].to_numpy()
-        for depth in range(3):
-            rep, dfn = np.array(streams.rep[depth], dtype=np.int64), np.array(streams.dfn[depth], dtype=np.int64)
-            if not len(rep):
-                continue
-            places = ordinals(rep, dfn, depth)
-            real = dfn > depth
-            records = [r for r, keep in zip(streams.leaf[depth], real) if keep]
-            out = {"batch_id": ids[places[0][real]]}
-            for level, name in enumerate(("text_no", "sentence_no", "token_no")):
-                out[name] = places[level + 1][real].astype("int32") if level <= depth else np.full(int(real.sum()), -1, dtype="int32")
-            for name in ("id", "lemma", "pos", "wf"):
-                out[name] = [_leaf(r, name, depth) if depth == 2 or name == "id" else None for r in records]
-            yield pd.DataFrame(out)
+_NAMES = ["batch_id", "text_no", "sentence_no", "token_no", "id", "lemma", "pos", "wf"]
+
+
+def rebuilt(ids: pa.Array, streams: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """The records of each level: places from the levels of its first leaf, members from all of its leaves."""
+    for depth in range(3):
+        own = [k for k, (level, _) in enumerate(LEAVES) if level == depth]
+        rep, dfn, _ = streams[own[0]]
+        if not len(rep):
+            continue
+        places, real = ordinals(rep, dfn, depth), dfn > depth
+        n = int(real.sum())
+        columns: list[pa.Array] = [ids.take(pa.array(places[0][real]))]
+        columns += [pa.array(places[level + 1][real].astype(np.int32) if level <= depth else np.full(n, -1, np.int32)) for level in range(3)]
+        members = {LEAVES[k][1]: streams[k][2].filter(pa.array(streams[k][1] > depth)) for k in own}
+        columns += [members.get(name, pa.nulls(n, pa.string())) for name in ("id", "lemma", "pos", "wf")]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for start in range(0, big.num_rows, CHUNK):
+            batch = big.slice(start, CHUNK)
+            ids, texts, payload = batch.column("batch_id"), batch.column("texts"), batch.column("payload")
+            typed = pc.fill_null(pc.greater(pc.list_value_length(texts), 0), False)
+            yield from rebuilt(ids.filter(typed), nested_streams(texts.filter(typed)))
+            walked = LevelStreams()
+            for text in payload.filter(pc.invert(typed)).to_pylist():
+                walked.add(_roots(text))
+            yield from rebuilt(ids.filter(pc.invert(typed)), walked.streams())
 
 
 def shred_batches(batches: DataFrame) -> DataFrame:
@@ -164,10 +237,8 @@ def shred_batches(batches: DataFrame) -> DataFrame:
     One shuffle, of one row per batch, to count each batch_id once; parsing, shredding and
     rebuilding run inside the partition.
     """
-    one = batches.where(F.col("batch_id").isNotNull()).select("batch_id", "texts", "payload").dropDuplicates(["batch_id"])
-    typed = F.when(F.size("texts") > 0, F.to_json(F.struct("texts"), {"ignoreNullFields": "false"}))
-    source = F.coalesce(typed, F.when(F.trim("payload") != "", F.col("payload")))
-    return one.select("batch_id", source.alias("payload")).where("payload is not null").mapInPandas(_shred, RECORD_SCHEMA)
+    one = batches.where(F.col("batch_id").isNotNull()).select(F.col("batch_id").cast("long").alias("batch_id"), "texts", "payload").dropDuplicates(["batch_id"])
+    return one.mapInArrow(_shred, RECORD_SCHEMA)
 
 
 def record_tables(records: DataFrame) -> dict[str, DataFrame]:

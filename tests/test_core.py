@@ -100,6 +100,26 @@ def test_shredding_matches_recursion(spark):
     assert not any(i in got for i in range(150, len(payloads)))
 
 
+def test_nested_columns_and_payloads_give_the_same_streams(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice([None, {"id": rng.choice([None, "k"]), "lemma": "l", "pos": None, "wf": rng.choice(["w", ""])}])
+    several = lambda make: rng.choice([None, [], [make() for _ in range(rng.randint(1, 4))]])
+    sentence = lambda: rng.choice([None, {"id": "s", "tokens": several(word)}])
+    text = lambda: rng.choice([None, {"id": rng.choice(["t", None]), "sentences": several(sentence)}])
+    rows = [several(text) for _ in range(200)]
+    schema = "array<struct<id:string,sentences:array<struct<id:string,tokens:array<struct<id:string,lemma:string,pos:string,wf:string>>>>>>"
+    nested = spark.createDataFrame([(i, r, None) for i, r in enumerate(rows)], f"batch_id long, texts {schema}, payload string")
+    walked = spark.createDataFrame([(i, None, json.dumps({"texts": r})) for i, r in enumerate(rows)], f"batch_id long, texts {schema}, payload string")
+    a, b = (sorted(map(repr, shredding.shred_batches(df).collect())) for df in (nested, walked))
+    assert a == b and len(a) > 100
+    column = nested.orderBy("batch_id").toArrow().column("texts").combine_chunks()
+    walk = shredding.LevelStreams()
+    for r in rows:
+        walk.add(shredding.as_array(r))
+    for x, y in zip(shredding.nested_streams(column), walk.streams()):
+        assert all(list(p) == list(q) for p, q in zip(x[:2], y[:2])) and x[2].to_pylist() == y[2].to_pylist()
+
+
 # --- text, vectors, spans -----------------------------------------------------------------------
 
 
