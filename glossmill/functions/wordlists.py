@@ -1,44 +1,31 @@
-"""English function words, built from base lists and rules of contraction."""
+"""English function words by word class; longer lists are a parameter."""
 
 from __future__ import annotations
 
-#: Base function words.
-BASE = """
-a about above after again against all am an and any are as at be because been before being below
-between both but by can cannot could did do does doing down during each few for from further had has
-have having he her here hers herself him himself his how i if in into is it its itself me more most my
-myself no nor not of off on once only or other ought our ours ourselves out over own same she should so
-some such than that the their theirs them themselves then there these they this those through to too
-under until up very was we were what when where which while who whom why with would you your yours
-yourself yourselves return
-"""
-#: Words and the endings they contract with.
-ENDINGS = {
-    "'d 'll": "he i she they we you",
-    "'s": "he here how it let she that there what when where who why",
-    "'re 've": "they we you",
-    "'m 've": "i",
-    "n't": "are ca could did does do had has have is must sha should was were wo would",
+#: The closed word classes of English, from general grammars; no list of another engine is meant.
+CLASSES = {
+    "determiners": "a an the this that these those each every either neither some any no all both half such what which whose other another",
+    "pronouns": "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself we us our ours ourselves they them their theirs themselves who whom one",
+    "prepositions": "about above across after against along among around at before behind below beneath beside between beyond by despite down during except for from in inside into like near of off on onto out outside over past per since through throughout to toward towards under until up upon via with within without",
+    "conjunctions": "and but or nor so yet if because although though unless while whereas whether as than",
+    "auxiliaries": "am is are was were be been being have has had having do does did doing done can could may might must shall should will would ought cannot",
+    "adverbs": "not too very just only also again then there here when where why how ever never once",
+    "clitics": "'s 're 've 'll 'd 'm n't",
+    "brackets": "-lrb- -rrb- -lsb- -rsb- -lcb- -rcb-",
 }
-#: Signs and clitics that count as function words.
-SIGNS = """
-!! ?! ?? !? ` `` '' -lrb- -rrb- -lsb- -rsb- , . : ; " ' ? < > { } [ ] + - ( ) & % $ @ ! ^ # * .. ... ### 'll 's 'm 're n't 'd
-"""
 
 
 def function_words() -> frozenset[str]:
-    """Base words, contractions with and without their apostrophe, and signs."""
-    words = set(BASE.split()) | set(SIGNS.split())
-    whole = set()
-    for endings, stems in ENDINGS.items():
-        whole |= {stem + ending for ending in endings.split() for stem in stems.split()}
-    bare = {w.replace("'", "") for w in whole} - {"hed", "hell", "id", "ill", "its", "shed", "shell", "wed", "well", "were", "ive", "weve"}
-    return frozenset(words | whole | bare)
+    """The words of all classes, in lower case."""
+    return frozenset(w for words in CLASSES.values() for w in words.split())
+
+
+def read_words(path: str) -> frozenset[str]:
+    """The words of a list file, one or more a line, in lower case; any list may stand in for the classes."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(f.read().lower().split())
 
 
 def stop_words(extra: str | None = None) -> frozenset[str]:
-    """Function words and the words of the list file ``extra`` (one or more a line)."""
-    if extra is None:
-        return function_words()
-    with open(extra, encoding="utf-8") as f:
-        return function_words() | frozenset(f.read().lower().split())
+    """Function words and the words of the list file ``extra``."""
+    return function_words() if extra is None else function_words() | read_words(extra)

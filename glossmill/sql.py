@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from glossmill.functions.text import POS_CLASSES
-from glossmill.functions.wordlists import function_words
-
 THRESHOLD = 0.25
-_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(function_words()))
+#: English function words, written out here so that this side does not lean on the library's.
+FUNCTION_WORDS = """
+'d 'll 'm 're 's 've -lcb- -lrb- -lsb- -rcb- -rrb- -rsb- a about above across after again against all along also although am among an and another any
+are around as at be because been before behind being below beneath beside between beyond both but by can cannot could despite did do does doing done
+down during each either ever every except for from had half has have having he her here hers herself him himself his how i if in inside into is it its
+itself just like may me might mine must my myself n't near neither never no nor not of off on once one only onto or other ought our ours ourselves out
+outside over past per shall she should since so some such than that the their theirs them themselves then there these they this those though through
+throughout to too toward towards under unless until up upon us very via was we were what when where whereas whether which while who whom whose why
+will with within without would yet you your yours yourself yourselves
+"""
+#: Simple classes of Penn tags.
+SIMPLE_TAGS = (("JJ", "JJ JJR JJS"), ("RB", "RB RBR RBS"), ("NN", "NN NNS NNP NNPS"), ("CD", "CD"), ("VB", "VB VBD VBG VBN VBP VBZ"))
+_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in FUNCTION_WORDS.split())
 _PUNCTUATION = r"'[!-/:-@\[-`{-~]+'"
 _SPLIT = r"'[ \t\n\r\f,.:;?!{}()\[\]'']+'"
 
@@ -107,7 +116,7 @@ def iterate_vertices(steps: int) -> str:
     return build("", "adj", "vb", "ver").rstrip() + ",\n" + ",\n".join(out) + f"\nselect doc_id, v, round(p, 6) as rank from v{steps}"
 
 
-_SIMPLE = "case " + " ".join(f"when tag in ({', '.join(repr(t) for t in tags.split())}) then '{name}'" for name, tags in POS_CLASSES.items()) + " else 'FUNCTION' end"
+_SIMPLE = "case " + " ".join(f"when tag in ({', '.join(repr(t) for t in tags.split())}) then '{name}'" for name, tags in SIMPLE_TAGS) + " else 'FUNCTION' end"
 _SIMILAR = "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as c from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0"
 _STATS = "round(min(x), 6) as least, round(max(x), 6) as most, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as deviation"
 _TFIDF = "select doc_id, ref, {tf} * ln(nd / (df + 1)) as x from (select doc_id, ref, count(*) as f from ann group by all) join (select ref, count(distinct doc_id) as df from ann group by all) using (ref), (select count(distinct doc_id)::double as nd from ann)"
