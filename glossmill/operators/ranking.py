@@ -1,8 +1,10 @@
 """Biased random-walk ranking of meanings and of graph vertices.
 
-The unit of work is one document: a few hundred meanings, dense. The group function builds the
-matrix and iterates in numpy; only one row a meaning is shuffled. For one graph too large for a
-task, ``rank_large_graph`` iterates with DataFrame plans and checkpoints.
+The unit of work is one document. Its matrix is never made whole: similarities are worked out in
+blocks of rows and only those at or above the threshold are stored, since all other entries of a row
+are one constant; the iteration runs on the stored entries. Documents of more than ``LARGE`` items,
+found by counting, are split: their similarities are worked out by pairs of blocks all over the
+cluster, and ``iterate`` takes the steps as DataFrame plans, with checkpoints, until each has settled.
 
 Defined results: a document without meanings has no rows; null vectors are similar to nothing;
 isolated vertices are reached by the bias only; ranks of a document sum to 1.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.context import cut_lineage
@@ -20,6 +22,10 @@ from glossmill.operators.graph import fresh
 from glossmill.options import Options
 
 MAX_STEPS = 10_000
+#: Meanings or vertices from which on a document is split over tasks, and those of a block of similarities.
+LARGE, SPLIT_BLOCK = 20_000, 2_000
+#: Rows of similarities at a time within a task.
+ROWS = 512
 
 
 # --- dense parts, one document at a time -----------------------------------------------------
@@ -87,6 +93,135 @@ def power_iteration(r: np.ndarray, steps: int = MAX_STEPS, epsilon: float | None
     return v
 
 
+# --- sparse parts ---------------------------------------------------------------------------
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors by their norm; zeros for missing and zero ones."""
+    dims = next((len(v) for v in vectors if v is not None), 1)
+    v = np.array([np.zeros(dims) if x is None else np.asarray(x, dtype=float) for x in vectors]).reshape(len(vectors), dims)
+    norm = np.linalg.norm(v, axis=1)
+    return np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0)
+
+
+def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the cosines of two blocks that are stored: above 0, at or above the threshold, of different groups."""
+    out = []
+    for start in range(0, len(a), ROWS):
+        s = np.minimum(a[start : start + ROWS] @ b.T, 1.0)
+        s[of_a[start : start + ROWS, None] == of_b[None, :]] = 0.0
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero((s > 0) & (s >= threshold) & np.isfinite(s))
+        out.append((i + start, j, s[i, j]))
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=float if k == 2 else int) for k in range(3))
+
+
+def stored_entries(vectors: list, groups: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of ``similarity_matrix`` that are not 0, in the order of rows and columns."""
+    v, codes = unit_rows(vectors), pd.factorize(pd.Series(groups, dtype=object))[0]
+    i, j, s = linked(v, v, codes, codes, threshold)
+    if threshold <= 1:
+        every = np.arange(len(v))
+        i, j, s = np.concatenate([i, every]), np.concatenate([j, every]), np.concatenate([s, np.ones(len(v))])
+    order = np.lexsort((j, i))
+    return i[order], j[order], s[order]
+
+
+def filled_rows(n: int, i: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray]:
+    """The constant that stands for entries not stored, and the sum of each row with it."""
+    fill = float(s.sum()) / (n * n)
+    return fill, np.bincount(i, weights=s, minlength=n) + (n - np.bincount(i, minlength=n)) * fill
+
+
+def sparse_iteration(b: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, rest: np.ndarray, damping: float, personalised: bool, steps: int, epsilon: float | None) -> np.ndarray:
+    """``power_iteration`` of a transition whose entry (i, j) is ``rest[i]`` plus, where stored, ``x``."""
+    n = len(b)
+    epsilon = 1.0 / (1000 * n) if epsilon is None else epsilon
+    v = np.full(n, 1.0 / n)
+    for _ in range(steps):
+        w = damping * (b * v.sum() if personalised else float(b @ v)) + (1 - damping) * (np.bincount(j, weights=x * v[i], minlength=n) + float(rest @ v))
+        total = np.abs(w).sum()
+        if not total > 0:
+            return v
+        w = w / total
+        done = np.abs(w - v).max() < epsilon
+        v = w
+        if done:
+            break
+    return v
+
+
+# --- documents split over tasks ---------------------------------------------------------------
+
+
+def large_documents(items: DataFrame, most: int | None = None) -> DataFrame | None:
+    """(doc_id) of the documents with more than ``most`` rows, None if there are none; one count over ``items(doc_id)``."""
+    counts = items.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > (LARGE if most is None else most))
+    found = cut_lineage(counts.select("doc_id"))
+    return None if found.isEmpty() else found
+
+
+def split_entries(rows: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, a, b, value): the stored entries of large documents, worked out by pairs of blocks, the diagonal included."""
+    doc, ref = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "ref"))
+    blocks = F.ceil(F.col("n") / SPLIT_BLOCK).cast("int")
+    placed = _with(rows, n=F.count("*")).select("doc_id", "ref", "ms", "vec", blocks.alias("m")).withColumn("mine", F.pmod(F.xxhash64("ref"), F.col("m")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    met = placed.select("doc_id", "ref", "ms", "vec", "mine", F.inline(pair))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["mine", "ref"], kind="stable").reset_index(drop=True)
+        v, code, mine = unit_rows(list(p["vec"])), pd.factorize(p["ms"])[0], p["mine"].to_numpy()
+        first, second = (np.flatnonzero(mine == p[c].iloc[0]) for c in ("i", "j"))
+        i, j, s = linked(v[first], v[second], code[first], code[second], threshold)
+        a, b = first[i], second[j]
+        if p["i"].iloc[0] != p["j"].iloc[0]:
+            a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+        refs = p["ref"].to_numpy(dtype=object)
+        return pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]] * len(a), "a": refs[a], "b": refs[b], "value": s})
+
+    entries = met.groupBy("doc_id", "i", "j").applyInPandas(run, f"doc_id {doc}, a {ref}, b {ref}, value double")
+    if threshold > 1:
+        return entries
+    return entries.unionByName(rows.select("doc_id", F.col("ref").alias("a"), F.col("ref").alias("b"), F.lit(1.0).alias("value")))
+
+
+def iterate(items: DataFrame, links: DataFrame, damping: float, personalised: bool = True, steps: int = MAX_STEPS, epsilon: float | None = None) -> DataFrame:
+    """(doc_id, v, rank) of ``items(doc_id, v, b, rest)`` along ``links(doc_id, a, b, x)``, all documents at once.
+
+    The same steps and stopping rule as ``sparse_iteration``; a document that has settled keeps
+    its ranks. Every step is one join on the source of a link and one aggregation on its target, with
+    map-side sums, and is checkpointed; only the number of open documents reaches the driver.
+    """
+    sized = _with(items, n=F.count("*"))
+    state = cut_lineage(sized.select("doc_id", "v", "b", "rest", (1.0 / F.col("n")).alias("p"), "n", F.lit(False).alias("done")))
+    links = cut_lineage(links.select("doc_id", F.col("a").alias("v"), F.col("b").alias("to"), "x"))
+    for _ in range(steps):
+        moved = links.join(state.where("not done").select("doc_id", "v", "p"), ["doc_id", "v"]).groupBy("doc_id", F.col("to").alias("v")).agg(F.sum(F.col("x") * F.col("p")).alias("m"))
+        summed = _with(state, _p=F.sum("p"), _bp=F.sum(F.col("b") * F.col("p")), _rest=F.sum(F.col("rest") * F.col("p"))).join(moved, ["doc_id", "v"], "left")
+        pushed = F.col("b") * F.col("_p") if personalised else F.col("_bp")
+        w = cut_lineage(summed.select(*state.columns, (damping * pushed + (1 - damping) * (F.coalesce("m", F.lit(0.0)) + F.col("_rest"))).alias("w")))
+        fresh = _with(w, _t=F.sum(F.abs("w"))).withColumn("q", F.when(F.col("done") | ~(F.col("_t") > 0), F.col("p")).otherwise(F.col("w") / F.col("_t")))
+        least = F.lit(epsilon) if epsilon is not None else 1.0 / (1000 * F.col("n"))
+        moves = _with(fresh, _d=F.max(F.abs(F.col("q") - F.col("p"))))
+        state = cut_lineage(moves.select("doc_id", "v", "b", "rest", F.col("q").alias("p"), "n", (F.col("done") | (F.col("_d") < least)).alias("done")))
+        if state.where("not done").isEmpty():
+            break
+    return state.select("doc_id", "v", F.col("p").alias("rank"))
+
+
+def _with(rows: DataFrame, **sums: Column) -> DataFrame:
+    """Rows with aggregates of their document; summed map-side and joined back, so a large document is not brought together."""
+    return rows.join(rows.groupBy("doc_id").agg(*[c.alias(k) for k, c in sums.items()]), "doc_id")
+
+
+def _both_ways(rows: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the ordinary documents and those of the large ones."""
+    if large is None:
+        return rows, None
+    return rows.join(large, "doc_id", "left_anti"), cut_lineage(rows.join(large, "doc_id", "left_semi"))
+
+
 # --- meanings -------------------------------------------------------------------------------
 
 
@@ -101,17 +236,33 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("ref", kind="stable").reset_index(drop=True)
 
 
-def rank_meanings(rows: DataFrame, options: Options = Options(), steps: int = MAX_STEPS, epsilon: float | None = None) -> DataFrame:
-    """(doc_id, ref, rank) from ``ranking_input``."""
+def rank_meanings(rows: DataFrame, options: Options = Options(), steps: int = MAX_STEPS, epsilon: float | None = None, large: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ref, rank) from ``ranking_input``; the documents of ``large``, from ``large_documents``, are split."""
     doc, ref = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "ref"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = _ordered(pdf)
-        x = row_normalise(fill_zeros(similarity_matrix(list(p["vec"]), list(p["ms"]), options.sim_threshold)))
-        r = transition(x, bias(p["w"].to_numpy(dtype=float)), options.damping_meanings, options.personalised)
-        return pd.DataFrame({"doc_id": p["doc_id"], "ref": p["ref"], "rank": power_iteration(r, steps, epsilon)})
-
-    return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, ref {ref}, rank double")
+        i, j, s = stored_entries(list(p["vec"]), list(p["ms"]), options.sim_threshold)
+        fill, sums = filled_rows(len(p), i, s)
+        over = np.divide(1.0, sums, out=np.zeros_like(sums), where=sums > 0)
+        ranks = sparse_iteration(bias(p["w"].to_numpy(dtype=float)), i, j, (s - fill) * over[i], fill * over, options.damping_meanings, options.personalised, steps, epsilon)
+        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy(dtype=object), "ref": p["ref"].to_numpy(dtype=object), "rank": ranks})
+
+    whole, split = _both_ways(rows, large)
+    out = whole.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, ref {ref}, rank double")
+    if split is None:
+        return out
+    entries = cut_lineage(split_entries(split, options.sim_threshold))
+    sizes = split.groupBy("doc_id").agg(F.count("*").alias("n"))
+    fills = entries.groupBy("doc_id").agg(F.sum("value").alias("t")).join(sizes, "doc_id", "right").select("doc_id", "n", (F.coalesce("t", F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("fill"))
+    sums = entries.groupBy("doc_id", F.col("a").alias("ref")).agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+    biased = _with(split, s=F.sum("w")).select("doc_id", "ref", F.when(F.col("s") > 0, F.col("w") / F.col("s")).alias("l")).join(sums, ["doc_id", "ref"], "left").join(fills, "doc_id")
+    row_sum = F.coalesce("s", F.lit(0.0)) + (F.col("n") - F.coalesce("c", F.lit(0))) * F.col("fill")
+    known = cut_lineage(biased.select("doc_id", F.col("ref").alias("v"), F.coalesce("l", 1.0 / F.col("n")).alias("b"), "fill", F.when(row_sum > 0, 1.0 / row_sum).otherwise(0.0).alias("over")))
+    links = entries.join(known.select("doc_id", F.col("v").alias("a"), "fill", "over"), ["doc_id", "a"]).select("doc_id", "a", "b", ((F.col("value") - F.col("fill")) * F.col("over")).alias("x"))
+    items = known.select("doc_id", "v", "b", (F.col("fill") * F.col("over")).alias("rest"))
+    ranked = iterate(items, links, options.damping_meanings, options.personalised, steps, epsilon)
+    return out.unionByName(ranked.withColumnRenamed("v", "ref"))
 
 
 def similarity_entries(rows: DataFrame, threshold: float, stage: str = "thresholded") -> DataFrame:
@@ -124,17 +275,16 @@ def similarity_entries(rows: DataFrame, threshold: float, stage: str = "threshol
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = _ordered(pdf)
-        s = similarity_matrix(list(p["vec"]), list(p["ms"]), threshold)
-        i, j = np.nonzero(s)
-        m = s if stage == "thresholded" else fill_zeros(s)
-        if stage == "normalised":
-            m = row_normalise(m)
+        n = len(p)
+        i, j, s = stored_entries(list(p["vec"]), list(p["ms"]), threshold)
         refs = p["ref"].to_numpy(dtype=object)
-        out = pd.DataFrame({"doc_id": p["doc_id"].iloc[0], "a": refs[i], "b": refs[j], "value": m[i, j]})
+        fill, sums = filled_rows(n, i, s)
+        over = np.divide(1.0, sums, out=np.zeros_like(sums), where=sums > 0) if stage == "normalised" else np.ones(n)
+        out = pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]] * len(i), "a": refs[i], "b": refs[j], "value": s * over[i]})
         if stage != "thresholded":
-            rest = [m[k][s[k] == 0][:1] for k in range(len(p))]
-            more = pd.DataFrame({"doc_id": p["doc_id"].iloc[0], "a": refs, "b": [None] * len(p), "value": [float(x[0]) if len(x) else np.nan for x in rest]})
-            out = pd.concat([out, more[more["value"].notna()]], ignore_index=True)
+            open_ = np.bincount(i, minlength=n) < n
+            more = pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]] * int(open_.sum()), "a": refs[open_], "b": [None] * int(open_.sum()), "value": (fill * over)[open_]})
+            out = pd.concat([out, more], ignore_index=True)
         return out
 
     return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, a {ref}, b {ref}, value double")
@@ -183,56 +333,34 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.withColumn("value", 1.0 / F.count("*").over(Window.partitionBy("doc_id", "a")))
 
 
-def rank_vertices(vertices: DataFrame, edges: DataFrame, options: Options = Options(), steps: int = MAX_STEPS, epsilon: float | None = None) -> DataFrame:
-    """(doc_id, v, rank) from ``vertices(doc_id, v, w)`` and ``edges(doc_id, src, dst)``, a document at a time."""
+def rank_vertices(vertices: DataFrame, edges: DataFrame, options: Options = Options(), steps: int = MAX_STEPS, epsilon: float | None = None, large: DataFrame | None = None) -> DataFrame:
+    """(doc_id, v, rank) from ``vertices(doc_id, v, w)`` and ``edges(doc_id, src, dst)``; the graphs of ``large`` are split."""
     doc, key = (vertices.schema[c].dataType.simpleString() for c in ("doc_id", "v"))
 
     def run(vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         if not len(vs):
-            return pd.DataFrame({"doc_id": [], "v": [], "rank": []})
+            return pd.DataFrame({"doc_id": [], "v": [], "rank": []}, dtype=object)
         p = vs.sort_values("v", kind="stable").reset_index(drop=True)
-        place = {v: k for k, v in enumerate(p["v"])}
-        y = np.zeros((len(p), len(p)))
-        for a, b in zip(es["a"], es["b"]):
-            if a in place and b in place:
-                y[place[a], place[b]] = 1.0
-        r = transition(row_normalise(y), variables_bias(p["w"].to_numpy(dtype=float)), options.damping_variables, options.personalised)
-        return pd.DataFrame({"doc_id": p["doc_id"], "v": p["v"], "rank": power_iteration(r, steps, epsilon)})
-
-    return vertices.groupBy("doc_id").cogroup(fresh(undirected(edges)).groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, v {key}, rank double")
-
-
-def rank_large_graph(vertices: DataFrame, edges: DataFrame, damping: float = 0.2, steps: int = 50, epsilon: float | None = None, checkpoint_every: int = 5) -> DataFrame:
-    """(v, rank) of one graph over the whole cluster; each step is one join and one aggregation.
-
-    Dangling vertices hand their rank to the bias. Lineage is cut every few steps in the shared folder.
-    """
-    n = vertices.count()
-    if not n:
-        return vertices.select("v", F.lit(0.0).alias("rank")).limit(0)
-    epsilon = 1.0 / (1000 * n) if epsilon is None else epsilon
-    total, mean = vertices.agg(F.sum("w"), F.avg("w")).first()
-    alpha = (mean or 0.0) / 100
-    whole = (total or 0.0) + alpha * n
-    t = (F.col("w") + alpha) / F.lit(whole) if whole > 0 else F.lit(1.0 / n)
-    base = cut_lineage(vertices.select("v", t.alias("t")))
-    links = undirected(edges.withColumn("doc_id", F.lit(0))).select("a", "b")
-    degree = links.groupBy("a").agg(F.count("*").alias("d"))
-    links = cut_lineage(links.join(degree, "a"))
-    rank = base.select("v", F.lit(1.0 / n).alias("rank"))
-    for k in range(steps):
-        moved = links.join(rank.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.sum(F.col("rank") / F.col("d")).alias("m"))
-        fresh = base.join(moved, "v", "left").select("v", (damping * F.col("t") + (1 - damping) * F.coalesce("m", F.lit(0.0))).alias("r"))
-        s = fresh.agg(F.sum("r")).first()[0]
-        fresh = fresh.select("v", (F.col("r") / F.lit(s)).alias("rank"))
-        last = k % checkpoint_every == checkpoint_every - 1
-        if last:
-            fresh = cut_lineage(fresh)
-            change = fresh.join(rank.withColumnRenamed("rank", "old"), "v").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change < epsilon:
-                return fresh
-        rank = fresh
-    return rank
+        place = pd.Index(p["v"])
+        i, j = (place.get_indexer(es[c]) for c in ("a", "b"))
+        known = (i >= 0) & (j >= 0)
+        i, j = i[known], j[known]
+        degree = np.bincount(i, minlength=len(p))
+        ranks = sparse_iteration(variables_bias(p["w"].to_numpy(dtype=float)), i, j, 1.0 / degree[i], np.zeros(len(p)), options.damping_variables, options.personalised, steps, epsilon)
+        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy(dtype=object), "v": p["v"].to_numpy(dtype=object), "rank": ranks})
+
+    whole, split = _both_ways(vertices, large)
+    links = undirected(edges)
+    out = whole.groupBy("doc_id").cogroup(fresh(links).groupBy("doc_id")).applyInPandas(run, f"doc_id {doc}, v {key}, rank double")
+    if split is None:
+        return out
+    ends = split.select("doc_id", "v")
+    inside = links.join(large, "doc_id", "left_semi").join(ends.withColumnRenamed("v", "a"), ["doc_id", "a"], "left_semi").join(ends.withColumnRenamed("v", "b"), ["doc_id", "b"], "left_semi")
+    degrees = inside.groupBy("doc_id", "a").agg(F.count("*").alias("d"))
+    weighted = inside.join(degrees, ["doc_id", "a"]).withColumn("x", 1.0 / F.col("d"))
+    smooth = _with(_with(split, a=F.avg("w") / 100).withColumn("w", F.col("w") + F.col("a")), s=F.sum("w"), n=F.count("*"))
+    items = smooth.select("doc_id", "v", F.when(F.col("s") > 0, F.col("w") / F.col("s")).otherwise(1.0 / F.col("n")).alias("b"), F.lit(0.0).alias("rest"))
+    return out.unionByName(iterate(items, weighted, options.damping_variables, options.personalised, steps, epsilon))
 
 
 def rank_mentions(mentions: DataFrame, edges: DataFrame, options: Options = Options()) -> DataFrame:

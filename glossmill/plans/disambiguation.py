@@ -46,7 +46,7 @@ def ranked_candidates(inputs: Inputs, options: Options = Options(), found: DataF
     """(doc_id, mention_id, ref, ord, w, weight): the rank of each candidate's meaning as weight."""
     top = cut_lineage(weighted_candidates(inputs, options, found))
     weights = top.select("doc_id", "ref", "w").distinct()
-    ranks = R.rank_meanings(R.ranking_input(top, weights, inputs.meanings), options)
+    ranks = R.rank_meanings(R.ranking_input(top, weights, inputs.meanings), options, large=R.large_documents(top))
     return R.write_ranks(top, ranks)
 
 
@@ -62,9 +62,9 @@ def sweep_similarity(inputs: Inputs, options: Options, thresholds: list[float],
     """
     top = cut_lineage(weighted_candidates(inputs, options, found))
     rows = cut_lineage(R.ranking_input(top, top.select("doc_id", "ref", "w").distinct(), inputs.meanings))
-    out = None
+    out, large = None, R.large_documents(rows)
     for t in thresholds:
-        ranks = R.rank_meanings(rows, replace(options, sim_threshold=t))
+        ranks = R.rank_meanings(rows, replace(options, sim_threshold=t), large=large)
         one = C.choose_ranked_or_first(R.write_ranks(top, ranks), "weight").withColumn("threshold", F.lit(float(t)))
         out = one if out is None else out.unionByName(one)
     return out

@@ -24,8 +24,12 @@ ROLES = ("A0", "A1", "mod", "loc")
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, sent_id, i, form, lemma, pos): each tok_id once, without nulls."""
-    rows = table(spark, d, "tokens").where("tok_id is not null and text_id is not null").dropDuplicates(["tok_id"])
+    """(doc_id, sent_id, i, form, lemma, pos): each token once, without nulls.
+
+    A repeated row has the same content, so grouping by all columns counts a token once, by hashing alone.
+    """
+    columns = ["text_id", "sent_id", "tok_idx", "wf", "lemma", "pos"]
+    rows = table(spark, d, "tokens").where("tok_id is not null and text_id is not null").groupBy("tok_id", *columns).agg(F.lit(1).alias("one"))
     form = F.coalesce("wf", F.lit(""))
     return rows.select(F.col("text_id").alias("doc_id"), "sent_id", F.col("tok_idx").alias("i"), form.alias("form"), F.coalesce(F.nullif("lemma", F.lit("")), form).alias("lemma"), F.coalesce("pos", F.lit("X")).alias("pos"))
 
@@ -90,7 +94,10 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def vertices(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, v, w): ends of the edges, weighted by the number of edges they start."""
-    e = edges(spark, d)
+    return vertices_of(edges(spark, d))
+
+
+def vertices_of(e: DataFrame) -> DataFrame:
     ends = e.select("doc_id", F.col("src").alias("v"), F.lit(1.0).alias("w")).unionByName(e.select("doc_id", F.col("dst").alias("v"), F.lit(0.0).alias("w")))
     return ends.groupBy("doc_id", "v").agg(F.sum("w").alias("w"))
 

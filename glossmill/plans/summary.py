@@ -93,7 +93,7 @@ def bank_graphs(documents: DataFrame, id_column: str = "doc_id", senses: Senses
 def plan_graphs(tables: dict[str, DataFrame], options: Options = Options(), keep: int = 10, stage: str = "order") -> DataFrame:
     """Content plans of global graphs: rank the vertices, extract, drop the redundant, order."""
     vs = cut_lineage(tables["vertices"])
-    ranked = R.rank_vertices(vs.select("doc_id", "v", "w"), tables["edges"], options)
+    ranked = R.rank_vertices(vs.select("doc_id", "v", "w"), tables["edges"], options, large=R.large_documents(vs))
     full = vs.drop("w").join(ranked.withColumnRenamed("rank", "w"), ["doc_id", "v"]).select("doc_id", "v", "w", "meaning", "vec", "sources", "verb")
     return P.plan_documents(full, tables["edges"], options, keep, stage=stage)
 

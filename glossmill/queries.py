@@ -199,12 +199,12 @@ def choose_context_or_first(spark, d):
 
 @query
 def choose_ranked_or_first(spark, d):
-    return C.choose_ranked_or_first(_weighted(spark, d).withColumn("rank", F.when(F.col("ref") % 3 == 0, F.col("w"))), "rank").select("doc_id", "mention_id", "ref")
+    return C.choose_ranked_or_first(_weighted(spark, d).withColumn("rank", F.when(F.col("w") >= 0.55, F.col("w"))), "rank").select("doc_id", "mention_id", "ref")
 
 
 @query
 def choose_ranked(spark, d):
-    return C.choose_ranked(_weighted(spark, d).withColumn("rank", F.when(F.col("ref") % 3 == 0, F.col("w")).otherwise(0.0)), "rank").select("doc_id", "mention_id", "ref")
+    return C.choose_ranked(_weighted(spark, d).withColumn("rank", F.when(F.col("w") >= 0.55, F.col("w")).otherwise(0.0)), "rank").select("doc_id", "mention_id", "ref")
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def bow_vectors(spark, d):
 
 @query
 def gloss_vectors(spark, d):
-    g = table(spark, d, "documents").where("source = 'sense_glosses' and text is not null").select(F.col("doc_id").alias("ref"), F.col("text").alias("gloss"))
+    g = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("ref"), F.col("text").alias("gloss"))
     items = g.select(F.explode(T.gloss_tokens(F.col("gloss"))).alias("item"))
     return X.gloss_vectors(g, X0.word_vectors(spark, d, items), X0.DIMS).select("ref", rv("vec").alias("vec"))
 
@@ -276,9 +276,8 @@ def fallback_vectors(spark, d):
 
 @query
 def inverse_weights(spark, d):
-    t = X0.tokens(spark, d)
-    w = t.groupBy(F.col("lemma").alias("item")).agg((1.0 / F.count("*")).alias("w")).where("item like '%e%'")
-    return X.inverse_weights(t.select(F.col("lemma").alias("item")), w).select("item", r6("w").alias("w"))
+    w = table(spark, d, "texts").select(F.explode("weighter").alias("item", "w")).groupBy("item").agg(F.max("w").alias("w"))
+    return X.inverse_weights(X0.tokens(spark, d).select(F.col("lemma").alias("item")), w).select("item", r6("w").alias("w"))
 
 
 # --- matrices and ranks ------------------------------------------------------------------------------
@@ -289,6 +288,12 @@ def _ranking_rows(spark, d):
     return R.ranking_input(c, X0.weights(spark, d, c), X0.meanings(spark, d))
 
 
+def _ranked(spark, d, options=OPTIONS, **stop):
+    """Ranks of the meanings of every document; the count of candidates tells which documents are split."""
+    c = X0.candidates(spark, d)
+    return R.rank_meanings(R.ranking_input(c, X0.weights(spark, d, c), X0.meanings(spark, d)), options, large=R.large_documents(c), **stop)
+
+
 def _stage(stage: str) -> Query:
     def f(spark, d):
         return R.similarity_entries(_ranking_rows(spark, d), THRESHOLD, stage).select("doc_id", "a", "b", r6("value").alias("value"))
@@ -320,19 +325,18 @@ def type_vector(spark, d):
 
 @query
 def power_iteration_3(spark, d):
-    return R.rank_meanings(_ranking_rows(spark, d), OPTIONS, steps=3, epsilon=0.0).select("doc_id", "ref", r6("rank").alias("rank"))
+    return _ranked(spark, d, steps=3, epsilon=0.0).select("doc_id", "ref", r6("rank").alias("rank"))
 
 
 @query
 def power_iteration_3_aw(spark, d):
-    return R.rank_meanings(_ranking_rows(spark, d), Options(sim_threshold=THRESHOLD, personalised=False), steps=3, epsilon=0.0).select("doc_id", "ref", r6("rank").alias("rank"))
+    return _ranked(spark, d, Options(sim_threshold=THRESHOLD, personalised=False), steps=3, epsilon=0.0).select("doc_id", "ref", r6("rank").alias("rank"))
 
 
 @query
 def rank_meanings(spark, d):
     """Flagship: the meanings of every document, ranked."""
-    ranks = R.rank_meanings(_ranking_rows(spark, d), OPTIONS)
-    return E.rank_list(ranks).select("doc_id", "ref", r6("rank").alias("rank"), "k")
+    return E.rank_list(_ranked(spark, d)).select("doc_id", "ref", r6("rank").alias("rank"), "k")
 
 
 def _mention_inputs(spark, d):
@@ -367,7 +371,9 @@ def rank_vertices_3(spark, d):
 
 @query
 def rank_vertices(spark, d):
-    return R.rank_vertices(X0.vertices(spark, d), X0.edges(spark, d)).select("doc_id", "v", r6("rank").alias("rank"))
+    e = cut_lineage(X0.edges(spark, d))
+    v = X0.vertices_of(e)
+    return R.rank_vertices(v, e, large=R.large_documents(e)).select("doc_id", "v", r6("rank").alias("rank"))
 
 
 # --- counts and weights -------------------------------------------------------------------------------
@@ -417,15 +423,6 @@ def annotation_counts(spark, d):
 
 @query
 def coverage(spark, d):
-    s = X0.spans(spark, d).where((T.hash28(F.col("form")) % 5 == 0) | (F.col("r") - F.col("l") == 1))
-    m = s.withColumn("mention_id", F.format_string("%s_%03d-%03d", "sent_id", "l", "r"))
-    c = m.select("doc_id", "mention_id", F.explode(F.sequence(F.lit(0), T.hash28(F.col("lemma")) % 3)).alias("k"))
-    return A.coverage(X0.tokens(spark, d), m, c).select("doc_id", "n_tokens", "covered", "covered_by_multiword", r6("polysemy").alias("polysemy"))
-
-
-@query
-def span_coverage(spark, d):
-    """Coverage by all spans (``coverage`` takes one in five of several tokens)."""
     m = X0.spans(spark, d).withColumn("mention_id", F.format_string("%s_%03d-%03d", "sent_id", "l", "r"))
     c = m.select("doc_id", "mention_id", F.explode(F.sequence(F.lit(0), T.hash28(F.col("lemma")) % 3)).alias("k"))
     return A.coverage(X0.tokens(spark, d), m, c).select("doc_id", "n_tokens", "covered", "covered_by_multiword", r6("polysemy").alias("polysemy"))
@@ -457,19 +454,13 @@ def entity_counts(spark, d):
 
 @query
 def meaning_statistics(spark, d):
-    g = table(spark, d, "documents").where("source = 'sense_glosses' and text is not null").select(F.col("doc_id").alias("ref"), F.array("text").alias("glosses"), F.array("source").alias("lemmas"))
+    g = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("ref"), F.array("text").alias("glosses"), F.array("source").alias("lemmas"))
     v = X0.tokens(spark, d).select(F.col("form").alias("item")).distinct()
     return A.meaning_stats(g, v).withColumn("mean_tokens", r6("mean_tokens"))
 
 
 @query
 def mention_weights(spark, d):
-    return A.most_weight(X0.words(spark, d), _weighted(spark, d).withColumnRenamed("w", "weight").where("ref % 4 <> 0")).select("doc_id", "mention_id", r6("w").alias("w"))
-
-
-@query
-def all_mention_weights(spark, d):
-    """The most weight of each mention over all of its candidates (``mention_weights`` leaves out one in four)."""
     return A.most_weight(X0.words(spark, d), _weighted(spark, d).withColumnRenamed("w", "weight")).select("doc_id", "mention_id", r6("w").alias("w"))
 
 
@@ -508,7 +499,7 @@ def system_scores(spark, d):
 
 
 def _scores_system(spark, d):
-    return C.choose_first(X0.candidates(spark, d)).where("ref % 5 <> 0").select(F.col("mention_id").alias("key"), "ref")
+    return C.choose_first(X0.candidates(spark, d)).select(F.col("mention_id").alias("key"), "ref")
 
 
 @query
@@ -541,7 +532,7 @@ def threshold_sweep(spark, d):
 
 @query
 def candidate_report(spark, d):
-    c = _weighted(spark, d).select(F.col("mention_id").alias("key"), "ref", F.when(F.col("ref") % 2 == 0, F.col("w")).otherwise(0.0).alias("weight"))
+    c = _weighted(spark, d).select(F.col("mention_id").alias("key"), "ref", F.when(F.col("w") >= 0.55, F.col("w")).otherwise(0.0).alias("weight"))
     r = E.report(c, X0.gold(spark, d), _scores_system(spark, d))
     return r.groupBy("mark").agg(F.count("*").alias("n"))
 

@@ -169,15 +169,57 @@ def test_similarity_matrix_groups_thresholds_and_missing_vectors():
     assert R.similarity_matrix([[1, 0], [1, 0.1]], ["a", "b"], 0.5)[0, 1] > 0.9
 
 
-def test_large_graph_rank_agrees_with_the_dense_one(spark):
-    rng = random.Random(3)
-    vs = [(0, i, float(rng.randint(0, 3))) for i in range(12)]
-    es = [(0, rng.randrange(11), rng.randrange(11), "r") for _ in range(25)]
-    v = spark.createDataFrame(vs, "doc_id int, v int, w double")
-    e = spark.createDataFrame(es, "doc_id int, src int, dst int, role string")
-    a = {r.v: r["rank"] for r in R.rank_vertices(v, e, epsilon=1e-9).collect()}
-    b = {r.v: r["rank"] for r in R.rank_large_graph(v, e, epsilon=1e-7, steps=60).collect()}
-    assert abs(sum(a.values()) - 1) < 1e-9 and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+def random_meanings(rng, n, dims=6):
+    vec = lambda: None if rng.random() < 0.1 else [rng.gauss(0.3, 1) for _ in range(dims)]
+    return [(i, rng.random(), rng.choice("abcdef") + str(i % 9), vec()) for i in range(n)]
+
+
+def test_sparse_entries_and_ranks_agree_with_dense_matrices():
+    rng = random.Random(4)
+    for n in (1, 2, 7, 60, 700):
+        rows = random_meanings(rng, n)
+        vecs, groups, w = [r[3] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows])
+        for threshold in (-1.0, 0.0, 0.4, 1.2):
+            dense = R.similarity_matrix(vecs, groups, threshold)
+            i, j, s = R.stored_entries(vecs, groups, threshold)
+            made = np.zeros((n, n))
+            made[i, j] = s
+            assert np.allclose(made, dense)
+            x = R.row_normalise(R.fill_zeros(dense))
+            fill, sums = R.filled_rows(n, i, s)
+            over = np.divide(1.0, sums, out=np.zeros(n), where=sums > 0)
+            for personalised in (True, False):
+                want = R.power_iteration(R.transition(x, R.bias(w), 0.6, personalised))
+                got = R.sparse_iteration(R.bias(w), i, j, (s - fill) * over[i], fill * over, 0.6, personalised, R.MAX_STEPS, None)
+                assert np.allclose(got, want, atol=1e-12)
+
+
+def test_split_documents_rank_as_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(R, "SPLIT_BLOCK", 20)
+    rng = random.Random(5)
+    rows = [(d, *r) for d, n in (("big", 90), ("small", 12), ("wide", 70)) for r in random_meanings(rng, n)]
+    df = spark.createDataFrame(rows, "doc_id string, ref int, w double, ms string, vec array<double>")
+    large = R.large_documents(df, 50)
+    assert {r.doc_id for r in large.collect()} == {"big", "wide"} and R.large_documents(df, 100) is None
+    for options in (Options(sim_threshold=0.3), Options(sim_threshold=0.3, personalised=False)):
+        a = {(r.doc_id, r.ref): r["rank"] for r in R.rank_meanings(df, options).collect()}
+        b = {(r.doc_id, r.ref): r["rank"] for r in R.rank_meanings(df, options, large=large).collect()}
+        assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-10 for k in a)
+    v = df.select("doc_id", F.col("ref").alias("v"), "w").where("v % 11 <> 3")
+    e = spark.createDataFrame([(d, rng.randrange(60), rng.randrange(60), "r") for d in ("big", "small", "wide") for _ in range(120)], "doc_id string, src int, dst int, role string")
+    a = {(r.doc_id, r.v): r["rank"] for r in R.rank_vertices(v, e).collect()}
+    b = {(r.doc_id, r.v): r["rank"] for r in R.rank_vertices(v, e, large=large).collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-10 for k in a)
+
+
+def test_a_document_of_20000_meanings_is_ranked_without_its_matrix():
+    rng = np.random.default_rng(6)
+    n = 20_000
+    v = rng.normal(size=(n, 16))
+    i, j, s = R.stored_entries(list(v), [str(k) for k in range(n)], 0.75)
+    fill, sums = R.filled_rows(n, i, s)
+    ranks = R.sparse_iteration(np.full(n, 1 / n), i, j, (s - fill) / sums[i], fill / sums, 0.6, True, R.MAX_STEPS, None)
+    assert len(i) < n * n / 100 and abs(ranks.sum() - 1) < 1e-9
 
 
 # --- graphs ---------------------------------------------------------------------------------------
