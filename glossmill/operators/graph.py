@@ -52,18 +52,57 @@ def contract_values(values: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce("into", "v").alias("v"), "value").distinct()
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(doc_id, v, component): the least vertex that each is linked to, over the whole cluster.
+#: Links from which on a document's components are found over the whole cluster instead of in one task.
+LARGE = 1_000_000
 
-    Alternates large-star and small-star steps, which settle in a number of rounds logarithmic in
-    the longest path. Every round pre-aggregates map-side; a vertex with many links never gathers
-    them in one task, since a star step only joins on it and takes minima. Nothing but the number
-    of changed links reaches the driver.
+
+def components(vertices: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, v, component): the least vertex that each is linked to.
+
+    A document of up to ``most`` links is settled in one task by joining sets; larger ones, found
+    by counting, by ``star_components`` over the whole cluster.
+    """
+    links = cut_lineage(edges.where("src <> dst").select("doc_id", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("w")).distinct())
+    sizes = links.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > (LARGE if most is None else most))
+    large = cut_lineage(sizes.select("doc_id"))
+    types = {c: links.schema[c].dataType.simpleString() for c in ("doc_id", "u")}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pd.Index(pd.concat([pdf["u"], pdf["w"]]).unique()).sort_values()
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(names.get_indexer(pdf["u"]).tolist(), names.get_indexer(pdf["w"]).tolist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        least = names.to_numpy(dtype=object)
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(names), "v": least, "component": least[[find(x) for x in range(len(names))]]})
+
+    schema = f"doc_id {types['doc_id']}, v {types['u']}, component {types['u']}"
+    if large.isEmpty():
+        found = links.groupBy("doc_id").applyInPandas(run, schema)
+    else:
+        few = links.join(large, "doc_id", "left_anti").groupBy("doc_id").applyInPandas(run, schema)
+        found = few.unionByName(star_components(links.join(large, "doc_id", "left_semi")))
+    return vertices.select("doc_id", "v").distinct().join(found, ["doc_id", "v"], "left").select("doc_id", "v", F.coalesce("component", "v").alias("component"))
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """(doc_id, v, component) of the ends of links (doc_id, u, w), u > w.
+
+    Alternates large-star and small-star steps until no link changes, which takes a number of rounds
+    logarithmic in the longest path. Every round pre-aggregates map-side; a vertex with many links
+    never gathers them in one task, since a star step only joins on it and takes minima. Nothing
+    but the number of changed links reaches the driver.
     """
-    links = edges.where("src <> dst").select("doc_id", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("w")).distinct()
     links = cut_lineage(links)
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select("doc_id", F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("doc_id", "u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
         large = both.join(least, ["doc_id", "u"]).where("w > u").select("doc_id", F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct()
@@ -76,7 +115,8 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 30) -> DataF
             break
         before = now
     root = links.groupBy("doc_id", "u").agg(F.min("w").alias("component"))
-    return vertices.select("doc_id", "v").distinct().join(root.withColumnRenamed("u", "v"), ["doc_id", "v"], "left").select("doc_id", "v", F.coalesce("component", "v").alias("component"))
+    tops = root.select("doc_id", F.col("component").alias("v"), "component").distinct()
+    return root.withColumnRenamed("u", "v").unionByName(tops)
 
 
 def without_names(edges: DataFrame) -> DataFrame:
@@ -165,14 +205,15 @@ def dependency_graph(tokens: DataFrame, dependencies: DataFrame) -> tuple[DataFr
     return vertices, simple(edges)
 
 
-def depths(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(doc_id, v, depth) of the vertices reached from ``roots(doc_id, v)``, breadth first.
+def depths(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, v, depth) of the vertices reached from ``roots(doc_id, v)``, breadth first, until no new one is.
 
-    Each round joins only the last frontier; lineage is cut every few rounds.
+    Each round joins only the last frontier and cuts its lineage.
     """
     seen = cut_lineage(roots.select("doc_id", "v", F.lit(0).alias("depth")).distinct())
-    front = seen
-    for d in range(1, most + 1):
+    front, d = seen, 0
+    while True:
+        d += 1
         step = front.join(edges.select("doc_id", F.col("src").alias("v"), "dst"), ["doc_id", "v"]).select("doc_id", F.col("dst").alias("v"))
         front = cut_lineage(step.distinct().join(seen, ["doc_id", "v"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():

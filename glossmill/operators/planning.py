@@ -167,12 +167,12 @@ class Node:
         return [self] + [x for c in self.children for x in c.preorder()]
 
 
-def unfold(vertices: frozenset, edges: dict[tuple[V, V], str], meanings: dict[V, V]) -> Node:
+def unfold(vertices: frozenset, edges: dict[tuple[V, V], str], meanings: dict[V, V], repeats: int | None = None) -> Node:
     """A tree of a subgraph: a vertex is repeated under each of its parents, several roots get one of their own.
 
     Children stand in the order of (role, vertex). A cycle is cut where it would come back to a vertex of its path.
-    Repeats multiply along chains of vertices with several parents, so once a tree has four nodes for each
-    vertex, further repeats stand as leaves.
+    Repeats multiply along chains of vertices with several parents; with ``repeats``, once a tree has so many
+    nodes for each vertex, further repeats stand as leaves.
     """
     made = 0
     down: dict[V, list[tuple[str, V]]] = defaultdict(list)
@@ -187,7 +187,7 @@ def unfold(vertices: frozenset, edges: dict[tuple[V, V], str], meanings: dict[V,
     def build(v: V, role: str, path: frozenset) -> Node:
         nonlocal made
         made += 1
-        again = made > 4 * len(vertices) and v in done
+        again = repeats is not None and made > repeats * len(vertices) and v in done
         done.add(v)
         kids = [] if again else [build(d, r, path | {v}) for r, d in sorted(down[v], key=lambda x: (x[0], str(x[1]))) if d not in path and d != v]
         return Node(str(v), role, meanings.get(v), tuple(kids))
@@ -253,25 +253,35 @@ def remove_redundant(similarity: np.ndarray, weights: list[float], keep: int) ->
 
     Equal similarities: the lowest pair first; equal weights: the second goes.
     """
-    left = set(range(len(weights)))
-    pairs = sorted(((-similarity[i, j], i, j) for i in left for j in left if i < j))
-    for _, i, j in pairs:
-        if len(left) <= max(keep, 0):
+    left = np.ones(len(weights), dtype=bool)
+    i, j = np.triu_indices(len(weights), 1)
+    over = len(weights) - max(keep, 0)
+    for at in np.argsort(-similarity[i, j], kind="stable").tolist() if over > 0 else ():
+        if over <= 0:
             break
-        if i in left and j in left:
-            left.discard(i if weights[i] < weights[j] else j)
-    return sorted(left)
+        a, b = i[at], j[at]
+        if left[a] and left[b]:
+            left[a if weights[a] < weights[b] else b] = False
+            over -= 1
+    return np.flatnonzero(left).tolist()
 
 
 def discourse_order(similarity: np.ndarray, rank: list[float]) -> list[int]:
     """From the highest rank on, always the one of most similarity to any taken, and rank, together."""
-    order = sorted(range(len(rank)), key=lambda i: (-rank[i], i))
-    taken = order[:1]
-    while len(taken) < len(order):
-        rest = [i for i in order if i not in taken]
-        best = max(rest, key=lambda j: (max(similarity[i, j] for i in taken) + rank[j], -order.index(j)))
-        taken.append(best)
-    return taken
+    if not rank:
+        return []
+    order = np.array(sorted(range(len(rank)), key=lambda i: (-rank[i], i)))
+    weight = np.asarray(rank, dtype=float)[order]
+    near = np.asarray(similarity)[np.ix_(order, order)]
+    best, free = near[0].copy(), np.ones(len(order), dtype=bool)
+    free[0] = False
+    taken = [0]
+    while free.any():
+        at = int(np.argmax(np.where(free, best + weight, -np.inf)))
+        taken.append(at)
+        free[at] = False
+        best = np.maximum(best, near[at])
+    return order[taken].tolist()
 
 
 # --- a document at a time ----------------------------------------------------------------------
@@ -310,7 +320,7 @@ def plan_documents(vertices: DataFrame, edges: DataFrame, options: Options = Opt
         means = [float(np.mean([w for v in s.vertices if (w := weight[v]) != 0] or [0.0])) for s, _ in found]
         order = list(range(len(found)))
         if stage != "extract" and found:
-            trees = [unfold(s.vertices, role, meaning) for s, _ in found]
+            trees = [unfold(s.vertices, role, meaning, options.tree_repeats) for s, _ in found]
             sim = np.eye(len(trees))
             for i in range(len(trees)):
                 for j in range(i):

@@ -20,5 +20,7 @@ class Options:
     softmax_temperature: float = 0.01
     max_tries: int = 1000
     max_span: int = 3
+    #: Nodes of an unfolded tree for each of its vertices from which on repeats stand as leaves; None: never.
+    tree_repeats: int | None = 4
     #: True: the bias follows the visited item; False: as first written, a mere scalar.
     personalised: bool = True

@@ -366,7 +366,8 @@ def adjacency(spark, d):
 
 @query
 def rank_vertices_3(spark, d):
-    return R.rank_vertices(X0.vertices(spark, d), X0.edges(spark, d), Options(), steps=3, epsilon=0.0).select("doc_id", "v", r6("rank").alias("rank"))
+    e = cut_lineage(X0.edges(spark, d))
+    return R.rank_vertices(X0.vertices_of(e), e, Options(), steps=3, epsilon=0.0).select("doc_id", "v", r6("rank").alias("rank"))
 
 
 @query
@@ -572,14 +573,16 @@ def optimised_candidates(spark, d):
 
 @query
 def contracted_edges(spark, d):
-    v = X0.vertices(spark, d)
+    e = cut_lineage(X0.edges(spark, d))
+    v = X0.vertices_of(e)
     into = F.min("v").over(Window.partitionBy("doc_id", F.col("v") % 7))
-    return G.contract(X0.edges(spark, d), v.select("doc_id", "v", into.alias("into")).where("v <> into"))
+    return G.contract(e, v.select("doc_id", "v", into.alias("into")).where("v <> into"))
 
 
 @query
 def components(spark, d):
-    return G.components(X0.vertices(spark, d), X0.edges(spark, d))
+    e = cut_lineage(X0.edges(spark, d))
+    return G.components(X0.vertices_of(e), e)
 
 
 @query
@@ -597,7 +600,8 @@ def role_edges(spark, d):
 
 @query
 def merged_entities(spark, d):
-    e, w = X0.edges(spark, d), X0.vertices(spark, d)
+    e = cut_lineage(X0.edges(spark, d))
+    w = X0.vertices_of(e)
     known = w.join(X0.meanings(spark, d).select(F.col("ref").alias("v"), "is_ne", "type"), "v")
     chains = known.select("doc_id", F.concat_ws("_", "type", (F.col("v") % 7).cast("string")).alias("group_id"), "v")
     return G.merge_graphs(e, w, chains, known.where("is_ne").select("doc_id", F.col("type").alias("group_id"), "v"))[0]

@@ -21,9 +21,10 @@ CORPUS_SCHEMA = (
 
 
 def text_files(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
-    """(path, text) of the files of a folder whose lower-cased name ends with ``suffix``, each whole."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", False).text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return files.where(F.lower("path").endswith(suffix.lower()))
+    """(path, text) of the files of a folder whose lower-cased name ends with ``suffix``, each whole; no other file is opened."""
+    any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{any_case}").text(folder)
+    return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def annotated_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +85,11 @@ def frequencies_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def annotations(documents: DataFrame, pattern: str = r"<babelNetID>([^<]*)</babelNetID>\s*<mention>([^<]*)</mention>", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+#: Fixed value: the form of an annotation in the annotated corpus.
+ANNOTATION = r"<babelNetID>([^<]*)</babelNetID>\s*<mention>([^<]*)</mention>"
+
+
+def annotations(documents: DataFrame, pattern: str = ANNOTATION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ref, form) of all matches of a two-group pattern in each text."""
     pairs = F.arrays_zip(F.regexp_extract_all(text_column, F.lit(pattern), 1).alias("ref"), F.regexp_extract_all(text_column, F.lit(pattern), 2).alias("form"))
     return documents.select(F.col(id_column).alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.ref", "p.form")
@@ -96,17 +101,18 @@ def gold_rankings(files: DataFrame) -> DataFrame:
     A line holds alternatives parted by bars and the covered text in quotes.
     """
     lines = files.select("path", F.posexplode(F.split("text", r"\n")).alias("k", "line"))
+    # fixed value: the form of a gold line
     pattern = r'((?:bn:\d{8}[ranv]\|?)+)-"([^"]*)"'
     found = lines.where(F.col("line").rlike(pattern))
     name = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
-    return found.select(name.alias("doc_id"), "k", F.filter(F.split(F.regexp_extract("line", pattern, 1), r"\|"), lambda x: x != "").alias("alternatives"), F.regexp_extract("line", pattern, 2).alias("covered"))
+    return found.select(name.alias("doc_id"), "k", F.filter(F.split(F.regexp_extract("line", pattern, 1), r"\|"), lambda x: x != "").alias("alternatives"), F.regexp_extract("line", pattern, 2).alias("covered")).orderBy("doc_id", "k")
 
 
 def gold_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(key, refs): the first token, or first-last of a span, and its answers; lines of fewer than three columns are left out."""
     p = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
     key = F.when(F.col("p")[0] == F.col("p")[1], F.col("p")[0]).otherwise(F.concat_ws("-", F.col("p")[0], F.col("p")[1]))
-    return p.select(key.alias("key"), F.filter(F.slice("p", 3, 1000), lambda x: x != "").alias("refs"))
+    return p.select(key.alias("key"), F.filter(F.slice("p", F.lit(3), F.size("p")), lambda x: x != "").alias("refs"))
 
 
 def scorer_keys(spark: SparkSession, path: str, doc: str | None = None) -> DataFrame:
@@ -114,7 +120,7 @@ def scorer_keys(spark: SparkSession, path: str, doc: str | None = None) -> DataF
     p = spark.read.text(path).select(F.split("value", r"\s+").alias("p")).where(F.size("p") >= 3)
     if doc:
         p = p.where(F.col("p")[0].startswith(doc))
-    answers = F.transform(F.filter(F.slice("p", 3, 1000), lambda x: x != ""), lambda x: F.replace(F.lower(x), F.lit("_"), F.lit(" ")))
+    answers = F.transform(F.filter(F.slice("p", F.lit(3), F.size("p")), lambda x: x != ""), lambda x: F.replace(F.lower(x), F.lit("_"), F.lit(" ")))
     return p.select(F.concat(F.col("p")[0], F.col("p")[1]).alias("key"), answers.alias("refs")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
 
 

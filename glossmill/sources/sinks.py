@@ -41,11 +41,27 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def frequencies_json(n_docs: int, form_meanings: DataFrame, meanings: DataFrame) -> DataFrame:
-    """Lines of JSON, one a form and one a meaning, with the number of documents on each."""
-    forms = form_meanings.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("ref", "n"))).alias("senses"))
-    a = forms.select(F.to_json(F.struct(F.lit(n_docs).alias("docs"), "form", "senses")).alias("text"))
-    return a.unionByName(meanings.select(F.to_json(F.struct(F.lit(n_docs).alias("docs"), "ref", "n")).alias("text")))
+def write_frequencies_json(n_docs: int, form_meanings: DataFrame, meanings: DataFrame, path: str) -> None:
+    """A frequency file: one object of ``docs``, ``mentions`` (form to pairs of meaning and count) and ``meanings`` (meaning to count).
+
+    The format is one object in one file, so one task writes it, of members that all executors make;
+    ``readers.frequencies_json`` reads it.
+    """
+    spark = meanings.sparkSession
+    forms = form_meanings.groupBy(F.col("form").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("ref").cast("string").alias("ref"), "n"))).alias("l"))
+    pairs = forms.select("key", F.to_json(F.transform("l", lambda x: F.array(x["ref"], x["n"].cast("string")))).alias("value"))
+    counts = meanings.select(F.col("ref").cast("string").alias("key"), F.col("n").cast("string").alias("value"))
+
+    def members(df: DataFrame, at: int) -> DataFrame:
+        first = df.agg(F.min("key")).first()[0]
+        quoted = F.to_json(F.struct(F.col("key").alias("k")))
+        name = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+        comma = F.when(F.col("key") == F.lit(first), "").otherwise(",")
+        return df.select(F.lit(at).alias("at"), "key", F.concat(comma, name, F.lit(":"), "value").alias("line"))
+
+    marks = spark.createDataFrame([(0, "", f'{{"docs":{n_docs},"mentions":{{'), (2, "", '},"meanings":{'), (4, "", "}}")], "at int, key string, line string")
+    lines = members(pairs, 1).unionByName(members(counts, 3)).unionByName(marks)
+    lines.repartition(1).sortWithinPartitions("at", "key").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def corpus_xml(tokens: DataFrame) -> DataFrame:

@@ -229,7 +229,18 @@ def test_components_of_paths_stars_and_loners(spark):
     edges = [(1, i, i + 1, "r") for i in range(40)] + [(1, 100, k, "r") for k in range(101, 130)] + [(2, 5, 5, "r")]
     vs = [(1, i) for i in [*range(41), *range(100, 130), 500]] + [(2, 5)]
     got = {(r.doc_id, r.v): r.component for r in G.components(spark.createDataFrame(vs, "doc_id int, v int"), spark.createDataFrame(edges, "doc_id int, src int, dst int, role string")).collect()}
-    assert got == {(d, v): 0 if v <= 40 and d == 1 else 100 if 100 <= v < 130 else v for d, v in vs}
+    want = {(d, v): 0 if v <= 40 and d == 1 else 100 if 100 <= v < 130 else v for d, v in vs}
+    assert got == want
+    v, e = spark.createDataFrame(vs, "doc_id int, v int"), spark.createDataFrame(edges, "doc_id int, src int, dst int, role string")
+    assert {(r.doc_id, r.v): r.component for r in G.components(v, e, most=10).collect()} == want
+
+
+def test_components_and_depths_of_a_path_longer_than_any_count_of_rounds(spark):
+    n = 66
+    e = spark.createDataFrame([(1, i, i + 1) for i in range(n)], "doc_id int, src int, dst int")
+    v = spark.createDataFrame([(1, i) for i in range(n + 1)], "doc_id int, v int")
+    assert {r.component for r in G.components(v, e, most=5).collect()} == {0}
+    assert {r.v: r.depth for r in G.depths(v.where("v = 0"), e).collect()} == {i: i for i in range(n + 1)}
 
 
 def test_contraction_drops_inner_edges(spark):
@@ -265,7 +276,30 @@ def test_trees_similarity_redundancy_and_order():
     assert P.tree_similarity(t, t, same) == 1.0 and P.tree_similarity(t, other, same) < 0.6
     sim = np.array([[1, 1, 0.2], [1, 1, 0.2], [0.2, 0.2, 1]])
     assert P.remove_redundant(sim, [0.5, 0.4, 0.3], 2) == [0, 2]
-    assert P.discourse_order(sim, [0.1, 0.9, 0.5])[0] == 1
+    assert P.discourse_order(sim, [0.1, 0.9, 0.5])[0] == 1 and P.discourse_order(np.eye(0), []) == []
+    chain = {(f"{k}{a}", f"{k + 1}{b}"): "r" for k in range(6) for a in "ab" for b in "ab"}
+    names = frozenset(v for e in chain for v in e)
+    assert P.unfold(names, chain, {}).size() > P.unfold(names, chain, {}, 4).size() >= 4 * len(names)
+
+
+def test_redundancy_and_order_follow_their_plain_rules():
+    rng = random.Random(11)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        sim = np.array([[rng.choice([0.1, 0.5, 0.5, 0.9]) for _ in range(n)] for _ in range(n)])
+        sim = np.maximum(sim, sim.T)
+        w = [rng.choice([0.2, 0.4, 0.4, 0.8]) for _ in range(n)]
+        keep = rng.randint(0, n)
+        left = set(range(n))
+        for _, i, j in sorted((-sim[i, j], i, j) for i in range(n) for j in range(i + 1, n)):
+            if len(left) > keep and {i, j} <= left:
+                left.discard(i if w[i] < w[j] else j)
+        assert P.remove_redundant(sim, w, keep) == sorted(left)
+        order = sorted(range(n), key=lambda i: (-w[i], i))
+        taken = order[:1]
+        while len(taken) < n:
+            taken.append(max((i for i in order if i not in taken), key=lambda j: (max(sim[i, j] for i in taken) + w[j], -order.index(j))))
+        assert P.discourse_order(sim, w) == taken
 
 
 def test_edit_distance_counts_single_edits():
@@ -340,6 +374,18 @@ def test_files_round_trip(spark, tmp_path):
     assert {(r.key, tuple(r.refs)) for r in readers.gold_tsv(spark, str(tmp_path / "g.tsv")).collect()} == {("t1", ("bn:1", "bn:2")), ("t1-t2", ("bn:3",))}
     (tmp_path / "f.json").write_text('{"docs": 2, "mentions": {"x": [["m", "3"]]}, "meanings": {"m": 3}}')
     assert readers.frequencies_json(spark, str(tmp_path / "f.json"))["form_meanings"].collect()[0].n == 3
+    forms = spark.createDataFrame([('a"b', "m1", 2), ('a"b', "m2", 1), ("ü", "m1", 4)], "form string, ref string, n long")
+    counts = spark.createDataFrame([("m1", 6), ("m2", 1)], "ref string, n long")
+    sinks.write_frequencies_json(9, forms, counts, str(tmp_path / "freq"))
+    back = readers.frequencies_json(spark, str(tmp_path / "freq"))
+    assert back["docs"].first()[0] == 9 and {tuple(r) for r in back["form_meanings"].collect()} == {tuple(r) for r in forms.collect()} and {tuple(r) for r in back["meanings"].collect()} == {tuple(r) for r in counts.collect()}
+    (tmp_path / "many.tsv").write_text("t1\tt1\t" + "\t".join(f"bn:{i}" for i in range(1500)) + "\n")
+    assert len(readers.gold_tsv(spark, str(tmp_path / "many.tsv")).first().refs) == 1500
+    (tmp_path / "texts").mkdir()
+    for name, text in (("b.GOLD", '\nbn:00000001n|bn:00000002v-"x y"\n'), ("a.gold", 'bn:00000003r-"z"'), ("c.txt", 'bn:00000004a-"no"')):
+        (tmp_path / "texts" / name).write_text(text)
+    gold = readers.gold_rankings(readers.text_files(spark, str(tmp_path / "texts"), ".gold")).collect()
+    assert [(r.doc_id, r.alternatives, r.covered) for r in gold] == [("a", ["bn:00000003r"], "z"), ("b", ["bn:00000001n", "bn:00000002v"], "x y")]
     tokens = spark.createDataFrame([("d1", "d1.s1", i, f"d1.s1.t{i}", w, w, "NN") for i, w in enumerate(("a", "b"))], "text_id string, sent_id string, i int, tok_id string, form string, lemma string, pos string")
     sinks.write_corpus_xml(tokens, str(tmp_path / "xml"))
     back = readers.annotated_corpus(spark, str(tmp_path / "xml"))
