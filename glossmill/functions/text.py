@@ -20,10 +20,6 @@ def gloss_tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GLOSS_DELIMITERS), lambda x: x != "")
 
 
-def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-
-
 def is_punctuation(form: Column) -> Column:
     """Whether a form is of ASCII punctuation only; false for null and empty forms."""
     return F.coalesce(form.rlike(PUNCTUATION), F.lit(False))

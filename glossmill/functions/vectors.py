@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossmill.functions.text import hash28
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -29,19 +31,13 @@ def item_similarity(id_a: Column, id_b: Column, a: Column, b: Column) -> Column:
     return F.when(id_a == id_b, F.lit(1.0)).otherwise(cosine(a, b))
 
 
-def sum_vectors(vectors: Column, dims: int) -> Column:
-    """Element-wise sum of an array of vectors."""
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-
-
 def scale(v: Column, by: Column) -> Column:
     return F.transform(v, lambda x: x * by)
 
 
 def random_vector(item: Column, dims: int, seed: int = 0) -> Column:
-    """Uniform [0, 1) numbers that depend on the item only."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.xxhash64(item, i, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    """Numbers in [0, 1) that depend on the item, its place and the seed only, the same in any engine with md5."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: hash28(F.concat_ws("_", item, i.cast("string"), F.lit(str(seed)))) / F.lit(float(1 << 28)))
 
 
 def as_text(v: Column) -> Column:

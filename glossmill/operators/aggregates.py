@@ -150,26 +150,44 @@ def pair_counts(rows: DataFrame, threshold: float) -> DataFrame:
     return kept.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, n_pairs long, n_valid long, n_defined long, n_filtered long, n_negative long")
 
 
-def described_meanings(meanings: DataFrame) -> DataFrame:
-    """Meanings with a gloss or a lemma."""
+def described_meanings(meanings: DataFrame, most: int | None = None) -> DataFrame:
+    """Meanings with a gloss or a lemma; the first ``most`` by reference where given."""
+    if most is not None:
+        return described_meanings(meanings).orderBy("ref").limit(most)
     some = [F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0 for c in ("glosses", "lemmas")]
     return meanings.where(some[0] | some[1])
 
 
+def _list_stats(meanings: DataFrame, column: str, words: str, parting: str, known: DataFrame) -> tuple[list[Column], Column]:
+    """Aggregates over a column of text lists, and the words of each list."""
+    texts = F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    split = lambda x: F.filter(F.split(x, parting), lambda t: t != "")
+    full = F.filter(texts, lambda x: x != "")
+    total = F.aggregate(full, F.lit(0), lambda s, x: s + F.size(split(x)))
+    return [
+        F.count_if(F.size(texts) > 0).alias(f"with_{words}"), F.coalesce(F.sum(F.size(texts)), F.lit(0)).alias(f"n_{words}"),
+        F.coalesce(F.sum(F.size(texts) - F.size(full)), F.lit(0)).alias(f"empty_{words}"), F.coalesce(F.sum(total), F.lit(0)).alias(f"tokens_{words}"),
+        F.coalesce(F.avg(F.when(F.size(full) > 0, total / F.size(full))), F.lit(0.0)).alias(f"mean_tokens_{words}"),
+    ], F.flatten(F.transform(full, split))
+
+
+def _defined(lists: DataFrame, known: DataFrame) -> int:
+    """Distinct lists of words of which any has a vector."""
+    once = lists.select("words", F.md5(F.array_join("words", "\u241f")).alias("k")).dropDuplicates(["k"])
+    return once.select("k", F.explode("words").alias("item")).join(known, "item", "left_semi").agg(F.count_distinct("k")).first()[0]
+
+
 def meaning_stats(meanings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row of counts over (ref, glosses, lemmas): glosses, lemmas, tokens and how many have vectors."""
-    tokens = meanings.select("ref", F.explode_outer("glosses").alias("gloss")).select("ref", F.explode(F.filter(F.split(F.coalesce("gloss", F.lit("")), r"\s+"), lambda x: x != "")).alias("item"))
-    known = tokens.join(vectors.select("item").distinct().withColumn("known", F.lit(1)), "item", "left")
-    per = known.groupBy("ref").agg(F.count("*").alias("n_tokens"), F.count("known").alias("n_known"))
-    return (
-        meanings.join(per, "ref", "left")
-        .agg(
-            F.count("*").alias("n_meanings"),
-            F.sum(F.size(F.coalesce("glosses", F.array()))).alias("n_glosses"),
-            F.sum(F.size(F.coalesce("lemmas", F.array()))).alias("n_lemmas"),
-            F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
-            F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"),
-            F.count_if(F.col("n_known") > 0).alias("n_defined"),
-            F.avg("n_tokens").alias("mean_tokens"),
-        )
-    )
+    """One row of 15 numbers over (ref, glosses, lemmas) and (item) with vectors.
+
+    For lemmas (words parted by ``_``) and for glosses (by white space): meanings that have some, how many,
+    empty ones, words, mean words of the full ones (mean over meanings), and distinct word lists of which any word has
+    a vector; then meanings, those with either, and distinct lists of both with a vector.
+    """
+    known = vectors.select("item").distinct()
+    lemmas, of_lemmas = _list_stats(meanings, "lemmas", "lemmas", "_", known)
+    glosses, of_glosses = _list_stats(meanings, "glosses", "glosses", r"\s+", known)
+    some = [F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())) > 0 for c in ("glosses", "lemmas")]
+    counts = {f"defined_{n}": _defined(meanings.select(w.alias("words")), known) for n, w in (("lemmas", of_lemmas), ("glosses", of_glosses), ("both", F.concat(of_glosses, of_lemmas)))}
+    row = meanings.agg(F.count("*").alias("n_meanings"), *lemmas, *glosses, F.count_if(some[0] | some[1]).alias("with_either"))
+    return row.select("*", *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])

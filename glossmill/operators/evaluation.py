@@ -58,3 +58,8 @@ def report(candidates: DataFrame, gold: DataFrame, chosen: DataFrame) -> DataFra
     both = candidates.join(g, ["key", "ref"], "left").join(s, ["key", "ref"], "left")
     mark = F.when(F.col("s") & F.col("g"), "OK").when(F.col("s"), "FAIL").when(F.col("g"), "GOLD").when(F.col("weight") > 0, "RANKED").otherwise("")
     return both.select("key", "ref", mark.alias("mark"))
+
+
+def top_ranks(weights: DataFrame, n: int = 100, weight: str = "rank") -> DataFrame:
+    """The ``n`` highest weights of all documents, smaller document and meaning first on ties; each task keeps its own ``n``."""
+    return weights.select("doc_id", "ref", weight).orderBy(F.desc(F.round(weight, 9)), "doc_id", "ref").limit(n)

@@ -457,7 +457,13 @@ def entity_counts(spark, d):
 def meaning_statistics(spark, d):
     g = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("ref"), F.array("text").alias("glosses"), F.array("source").alias("lemmas"))
     v = X0.tokens(spark, d).select(F.col("form").alias("item")).distinct()
-    return A.meaning_stats(g, v).withColumn("mean_tokens", r6("mean_tokens"))
+    return A.meaning_stats(g, v).withColumns({c: r6(c) for c in ("mean_tokens_lemmas", "mean_tokens_glosses")})
+
+
+@query
+def limited_meanings(spark, d):
+    m = table(spark, d, "documents").select(F.col("doc_id").alias("ref"), F.array_compact(F.array(F.nullif("text", F.lit("")))).alias("glosses"), F.array_compact(F.array("source")).alias("lemmas"))
+    return A.described_meanings(m, 50).select("ref")
 
 
 @query
@@ -538,6 +544,70 @@ def candidate_report(spark, d):
     return r.groupBy("mark").agg(F.count("*").alias("n"))
 
 
+@query
+def top_ranks(spark, d):
+    return E.top_ranks(X0.weights(spark, d, X0.candidates(spark, d)).withColumnRenamed("w", "rank")).select("doc_id", "ref", r6("rank").alias("rank"))
+
+
+@query
+def chosen_lines(spark, d):
+    """Results as lines: first and last token and the chosen sense of each mention."""
+    w = X0.words(spark, d).select("sent_id", F.col("i").alias("l"), (F.col("i") + 1).alias("r"), "mention_id")
+    chosen = C.choose_first(X0.candidates(spark, d)).join(w, "mention_id")
+    token = F.format_string("%s.t%03d", "sent_id", F.col("l") + 1)
+    return sinks.results_tsv(chosen.withColumns({"first_tok": token, "last_tok": token}))
+
+
+@query
+def candidate_priors(spark, d):
+    c = X0.candidates(spark, d).join(X0.words(spark, d).select("mention_id", "form"), "mention_id")
+    return A.with_prior(c, A.prior(_annotations(spark, d))).select("doc_id", "mention_id", "ref", r6("p").alias("p"))
+
+
+@query
+def reset_candidates(spark, d):
+    return C.reset_weights(_weighted(spark, d).withColumnRenamed("w", "weight")).select("doc_id", "mention_id", "ref", "weight")
+
+
+@query
+def type_counts(spark, d):
+    return sinks.type_counts(X0.meanings(spark, d))
+
+
+@query
+def vector_items(spark, d):
+    return readers.item_keys(file_vectors(spark, d))
+
+
+@query
+def random_vectors(spark, d):
+    items = X0.tokens(spark, d).select(F.col("lemma").alias("item")).distinct()
+    return items.select("item", V.random_vector(F.col("item"), 8).alias("vec")).select("item", rv("vec").alias("vec"))
+
+
+@query
+def tagset_counts(spark, d):
+    """Tags of several tagsets, as read with the tagset of each text's language."""
+    langs = table(spark, d, "texts").select(F.col("text_id").alias("doc_id"), "lang").distinct()
+    tag = F.element_at(F.array(*[F.lit(x) for x in ("NNS", "VVFIN", "ADJA", "n0", "vmip", "Noun", "ADV", "RBR")]), (T.hash28(F.col("form")) % 8 + 1).cast("int"))
+    t = X0.tokens(spark, d).join(langs, "doc_id").withColumn("tag", tag)
+    simple = F.lit("X")
+    for lang in readers.TAGSETS:
+        simple = F.when(F.col("lang") == lang, readers.dictionary_pos(F.col("tag"), lang)).otherwise(simple)
+    return t.groupBy("lang", "tag", simple.alias("simple")).agg(F.count("*").alias("n"))
+
+
+@query
+def plain_tokens(spark, d):
+    t = readers.plain_documents(table(spark, d, "documents").where("text is not null"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("sent_id").alias("n_sentences"), F.max("tok_id").alias("last"))
+
+
+@query
+def ngram_spans(spark, d):
+    return S.ngrams(X0.tokens(spark, d), 3)
+
+
 @query
 def mention_softmax(spark, d):
     return O.mention_softmax(_weighted(spark, d), "w").select("doc_id", "mention_id", "ref", r6("p").alias("p"))
@@ -585,6 +655,44 @@ def components(spark, d):
     return G.components(X0.vertices_of(e), e)
 
 
+@query
+def predicate_edges(spark, d):
+    """Edges from each vertex to the lighter ones of its document that share its remainder by 50."""
+    v = X0.vertices(spark, d).withColumn("part", F.col("v") % 50)
+    return G.edges_where(v, ["doc_id", "part"], F.col("a.w") > F.col("b.w"), F.lit("over"))
+
+
+@query
+def vertex_depths(spark, d):
+    """Depth of what each document's least vertex reaches by rising edges."""
+    e = cut_lineage(X0.edges(spark, d).where("src < dst"))
+    return G.depths(X0.vertices_of(e).groupBy("doc_id").agg(F.min("v").alias("v")), e)
+
+
+@query
+def dependency_edges(spark, d):
+    """Graph of the tokens, each the governor of the next one of its sentence, with confidences."""
+    t = X0.tokens(spark, d)
+    deps = t.select("doc_id", "sent_id", F.col("i").alias("governor"), F.lead("i").over(Window.partitionBy("doc_id", "sent_id").orderBy("i")).alias("dependent"), F.col("pos").alias("role")).where("dependent is not null")
+    vs, es = G.dependency_graph(t.withColumn("confidence", F.when(F.col("pos") == "N", 0.5)), deps)
+    return es.join(vs.withColumnRenamed("v", "src"), ["doc_id", "src"]).select("doc_id", "src", "dst", "role", "w")
+
+
+@query
+def rank_mentions(spark, d):
+    """Mentions ranked along the order of their sentence, by their mean candidate weight."""
+    weights = X0.words(spark, d).select("doc_id", "mention_id").join(_weighted(spark, d).withColumnRenamed("w", "weight").select("doc_id", "mention_id", "weight"), ["doc_id", "mention_id"])
+    follow = F.lead("mention_id").over(Window.partitionBy("doc_id", "sent_id").orderBy("i"))
+    edges = X0.words(spark, d).select("doc_id", F.col("mention_id").alias("src"), follow.alias("dst")).where("dst is not null")
+    return R.rank_mentions(weights, edges).select("doc_id", "mention_id", r6("rank").alias("rank"))
+
+
+@query
+def subgraph_weights(spark, d):
+    v = X0.vertices(spark, d)
+    return A.non_zero_average(v.select("doc_id", (F.col("v") % 7).alias("sg_id"), "w")).select("doc_id", "sg_id", r6("w").alias("w"))
+
+
 @query
 def vertex_candidates(spark, d):
     w = _weighted(spark, d).join(X0.words(spark, d).select("mention_id", "sent_id"), "mention_id")

@@ -185,6 +185,14 @@ variant(
     },
     "wrd", "keys", "dict", "pairs", "found", "cand", "raw", "cw", "wc", "top", "refs", "ent", "tot", "rows", "bia",
 )
+variant(
+    "s",
+    {
+        "edg": ("wrd", "select doc_id, src, dst from (select doc_id, mention_id as src, lead(mention_id) over (partition by doc_id, sent_id order by i) as dst from wrd) where dst is not null"),
+        "ver": ("wc", "select doc_id, mention_id as v, avg(w) as w from wc group by all"),
+    },
+    "edg", "ver", "und", "adj", "vb",
+)
 
 
 def settled_meanings(select: str, prefix: str = "", steps: int = 40, more: tuple[str, ...] = ()) -> str:
@@ -205,13 +213,14 @@ def _settle(k: int, raw: str, key: str) -> str:
     return f"v{k} as materialized (select doc_id, {key}, case when done then old else fresh end as p, done or max(abs(fresh - old)) over (partition by doc_id) < 1.0 / (1000 * n) as done from ({shares}))"
 
 
-def settled_vertices(steps: int = 60) -> str:
-    out = ["v0 as materialized (select doc_id, v, 1.0 / count(*) over (partition by doc_id) as p, false as done from ver)"]
+def settled_vertices(select: str, prefix: str = "", steps: int = 60) -> str:
+    p = prefix
+    out = [f"v0 as materialized (select doc_id, v, 1.0 / count(*) over (partition by doc_id) as p, false as done from {p}ver)"]
     for k in range(1, steps + 1):
-        moved = f"select adj.doc_id, adj.b as v, sum(value * p) as x from adj join v{k - 1} r on r.doc_id = adj.doc_id and r.v = adj.a group by all"
-        raw = f"select vb.doc_id, vb.v, 0.2 * t * total + 0.8 * coalesce(x, 0) as q, o.p as old, o.done from vb join (select doc_id, sum(p) as total from v{k - 1} group by all) using (doc_id) left join ({moved}) m using (doc_id, v) join v{k - 1} o using (doc_id, v)"
+        moved = f"select adj.doc_id, adj.b as v, sum(value * p) as x from {p}adj adj join v{k - 1} r on r.doc_id = adj.doc_id and r.v = adj.a group by all"
+        raw = f"select vb.doc_id, vb.v, 0.2 * t * total + 0.8 * coalesce(x, 0) as q, o.p as old, o.done from {p}vb vb join (select doc_id, sum(p) as total from v{k - 1} group by all) using (doc_id) left join ({moved}) m using (doc_id, v) join v{k - 1} o using (doc_id, v)"
         out.append(_settle(k, raw, "v"))
-    return build("", "adj", "vb", "ver").rstrip() + ",\n" + ",\n".join(out) + f"\nselect doc_id, v, round(p, 6) as rank from v{steps}"
+    return build("", *(p + x for x in ("adj", "vb", "ver"))).rstrip() + ",\n" + ",\n".join(out) + f",\nlast as (select doc_id, v, p from v{steps})\n{select}"
 
 
 def heads(groups: str) -> str:
@@ -229,7 +238,8 @@ SQL: dict[str, str] = {
     "p4_found": build("select batch_id, text_no, -1 as sentence_no, -1 as token_no from tx union all select batch_id, text_no, sentence_no, -1 from se union all select batch_id, text_no, sentence_no, token_no from tk", "tk"),
     "p4_tokens": build(f"select batch_id, text_no, sentence_no, token_no, {leaf('id', '@id', '_id')} as tok_id, {leaf('lemma', '@lemma', '_lemma')} as lemma, {leaf('pos', '@pos', '_pos')} as pos, case when json_type(r) = 'OBJECT' then {leaf('wf', '#text', '_VALUE', 'form')} else r ->> '$' end as wf from tk", "tk"),
     "rank_meanings": settled_meanings("select doc_id, ref, round(p, 6) as rank, row_number() over (partition by doc_id order by round(p, 9) desc, ref) as k from last"),
-    "rank_vertices": settled_vertices(),
+    "rank_vertices": settled_vertices("select doc_id, v, round(p, 6) as rank from last"),
+    "rank_mentions": settled_vertices("select doc_id, v as mention_id, round(p, 6) as rank from last", "s"),
     "disambiguated_mentions": settled_meanings(_CHOSEN, "m"),
     "system_scores": settled_meanings("", "m", more=("gld", "sys")),
     "sif_vectors": build(f"select doc_id, list(round(x - y, 6) order by k) as vec from sifr join (select doc_id, i as k, sum(m * x) as y from sifr join mom{SQUARES} on j = k group by all) using (doc_id, k) group by doc_id", "sifr", f"mom{SQUARES}"),
@@ -288,7 +298,27 @@ SQL: dict[str, str] = {
     "similarity_stats": build("select doc_id, n_meanings, n_meanings * (n_meanings - 1) // 2 as n_pairs, coalesce(n_similar, 0) as n_similar, round(mean, 6) as mean from (select doc_id, count(*) as n_meanings from refs group by all) left join (select doc_id, count(*) as n_similar, avg(value) as mean from ent where a < b group by all) using (doc_id)", "ent", "refs"),
     "text_statistics": f"select source, count(x) as n, {_STATS} from (select source, n_chars::double as x from documents) group by all",
     "entity_counts": build(f"select ner, count(*) as n_mentions, sum(r - l)::bigint as n_tokens, count(distinct doc_id) as n_docs from (select *, (['LOC', 'PER', '', ''])[{h('form')} % 4 + 1] as ner from spn) where ner <> '' group by all", "spn"),
-    "meaning_statistics": build("select count(*) as n_meanings, count(*) as n_glosses, count(*) as n_lemmas, sum(n)::bigint as n_tokens, sum(k)::bigint as n_known, count_if(k > 0) as n_defined, round(avg(n), 6) as mean_tokens from (select ref, case when count(x) = 0 then null else count(x) end as n, case when count(x) = 0 then null else count(f.form) end as k from (select doc_id as ref, unnest(case when len(t) = 0 then [null] else t end) as x from (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as t from documents where text is not null)) left join (select distinct form from tok) f on f.form = x group by all)", "tok"),
+    "meaning_statistics": build("select count(*) as n_meanings, count(l) as with_lemmas, count(l) as n_lemmas, count_if(coalesce(source = '', false)) as empty_lemmas, coalesce(sum(len(l)), 0)::bigint as tokens_lemmas, round(coalesce(avg(len(l)) filter (source <> ''), 0), 6) as mean_tokens_lemmas, count(g) as with_glosses, count(g) as n_glosses, count_if(text = '') as empty_glosses, coalesce(sum(len(g)), 0)::bigint as tokens_glosses, round(coalesce(avg(len(g)) filter (text <> ''), 0), 6) as mean_tokens_glosses, count(*) as with_either, count(distinct l) filter (list_has_any(l, f)) as defined_lemmas, count(distinct g) filter (list_has_any(g, f)) as defined_glosses, count(distinct list_concat(g, coalesce(l, []))) filter (list_has_any(list_concat(g, coalesce(l, [])), f)) as defined_both from m, f", "tok").replace("\nselect count", ",\nf as materialized (select list(distinct form) as f from tok),\nm as materialized (select text, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as g, case when source is not null then list_filter(string_split(source, '_'), lambda x: x <> '') end as l from documents where text is not null)\nselect count", 1),
+    "limited_meanings": "select doc_id as ref from documents where text <> '' or source is not null order by doc_id limit 50",
+    "top_ranks": build("select doc_id, ref, round(w, 6) as rank from cw order by round(w, 9) desc, doc_id, ref limit 100", "cw"),
+    "chosen_lines": build("select format('{}.t{:03d}', sent_id, i + 1) as first_tok, format('{}.t{:03d}', sent_id, i + 1) as last_tok, ref from cand join wrd using (doc_id, mention_id) where ord = 1", "cand", "wrd"),
+    "candidate_priors": build("select doc_id, mention_id, ref, round(coalesce(p, 0), 6) as p from cand join (select mention_id, form from wrd) using (mention_id) left join (select form, ref, n / sum(n) over (partition by form) as p from (select form, ref, count(*) as n from ann group by all)) using (form, ref)", "cand", "wrd", "ann"),
+    "reset_candidates": build("select doc_id, mention_id, ref, 0.0::double as weight from wc", "wc"),
+    "type_counts": build("select type, count(*) as n from mean group by all", "mean"),
+    "vector_items": build("select distinct item from filevec", "filevec"),
+    "random_vectors": build(f"select item, list_transform(range(8), lambda i: round({h("concat_ws('_', item, i, '0')")} / 268435456.0, 6)) as vec from (select distinct lemma as item from tok)", "tok"),
+    "tagset_counts": build(f"""select lang, tag, case lang when 'en' then case when tag[1:2] = 'NN' then 'N' when tag[1:2] = 'VB' then 'V' when tag[1:2] = 'JJ' then 'J' when tag[1:2] = 'RB' then 'R' else 'X' end
+      when 'de' then case when tag[1:3] = 'ADJ' then 'J' when tag[1:3] = 'ADV' then 'R' when tag[1:2] in ('NN', 'NE') then 'N' when tag[1:2] in ('VV', 'VA', 'VM') then 'V' else 'X' end
+      when 'es' then case tag[1] when 'n' then 'N' when 'v' then 'V' when 'a' then 'J' when 'r' then 'R' else 'X' end
+      when 'fr' then case when tag[1:3] = 'ADJ' then 'J' when tag[1:3] = 'ADV' then 'R' when tag[1] = 'N' then 'N' when tag[1] = 'V' then 'V' when tag[1] = 'A' then 'J' else 'X' end
+      when 'tr' then case when tag[1:4] = 'Noun' then 'N' when tag[1:4] = 'Verb' then 'V' when tag[1:3] = 'Adj' then 'J' when tag[1:3] = 'Adv' then 'R' else 'X' end else 'X' end as simple, count(*) as n
+      from (select *, (['NNS', 'VVFIN', 'ADJA', 'n0', 'vmip', 'Noun', 'ADV', 'RBR'])[{h('form')} % 8 + 1] as tag from tok join (select distinct text_id as doc_id, lang from texts) using (doc_id)) group by all""", "tok"),
+    "plain_tokens": r"select doc_id, count(*) as n_tokens, count(distinct s) as n_sentences, max(format('t{}.s{}.t{}', doc_id, s + 1, i + 1)) as last from (select doc_id, s, unnest(range(len(w))) as i from (select doc_id, s, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as w from (select doc_id, unnest(range(len(l))) as s, unnest(l) as line from (select doc_id, regexp_split_to_array(text, '\n+') as l from documents where text is not null)))) group by all",
+    "ngram_spans": build("select doc_id, sent_id, l::int as l, r::int as r, array_to_string(list_transform(t[l + 1 : r], lambda x: x.form), ' ') as form from (select *, unnest(range(l + 1, least(l + 3, len(t)) + 1)) as r from (select *, unnest(range(len(t))) as l from sent))", "sent"),
+    "predicate_edges": build("select a.doc_id, a.v as src, b.v as dst, 'over' as role from ver a join ver b on a.doc_id = b.doc_id and a.v % 50 = b.v % 50 and a.v <> b.v and a.w > b.w", "ver"),
+    "vertex_depths": build("select doc_id, v, min(depth)::int as depth from reach group by all", "edg").replace("with ", "with recursive ", 1).replace("\nselect doc_id, v, min(depth)", ",\nup as materialized (select doc_id, src, dst from edg where src < dst),\nreach as (select doc_id, min(src) as v, 0 as depth from up group by doc_id union select r.doc_id, u.dst, r.depth + 1 from reach r join up u on u.doc_id = r.doc_id and u.src = r.v)\nselect doc_id, v, min(depth)", 1),
+    "dependency_edges": build("select doc_id, src, dst, role, w from (select doc_id, sent_id || '_' || i as src, sent_id || '_' || lead(i) over p as dst, pos as role, case when pos = 'N' then 0.5 else 0 end::double as w from tok window p as (partition by doc_id, sent_id order by i)) where dst is not null", "tok"),
+    "subgraph_weights": build("select doc_id, v % 7 as sg_id, round(coalesce(avg(nullif(w, 0)), 0), 6) as w from ver group by all", "ver"),
     "mention_weights": build("select distinct doc_id, mention_id, round(coalesce(w, 0), 6) as w from wrd left join (select doc_id, mention_id, max(w) as w from wc group by all) using (doc_id, mention_id)", "wrd", "wc"),
     "meaning_average": build(f"select doc_id, ref, round(avg({h('mention_id || chr(95) || ref::varchar')} % 100 / 100), 6) as weight from cand group by all", "cand"),
     "windowed_terms": "select time_bucket(interval 7 days, loaded_at::timestamp, timestamp '1970-01-01') as start, lemma as term, count(*) as n from tokens where lemma <> '' group by all",
