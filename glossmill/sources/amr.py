@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r'\s*(?:(\()|(\))|(/)(?=\s)|(:[^\s()]+)|("(?:[^"\\\n]|\\.)*"(?:~[A-Za-z0-9.,]+)?)|([^\s()]+))')
 _ALIGNED = re.compile(r"~e\.([0-9]+)\Z")
 _VARIABLE = re.compile(r"[a-z]+[0-9]*\Z")
+#: A constant at the end of a vertex's name, and what tells repeated ones apart.
+_CONSTANT = re.compile(r'("(?:[^"\\\n]|\\.)*")(?:_[0-9]+)?\Z')
 
 
 @dataclass
@@ -286,7 +288,9 @@ def span_tops(graphs: DataFrame, max_span: int = 5) -> DataFrame:
 def write_graph(root: str, edges: list[tuple[str, str, str]], concepts: dict[str, str]) -> str:
     """Bracket notation of a graph: edges against the walk are turned round, cycles and repeats named only.
 
-    Roles are written in order; a vertex that was written before appears as its variable.
+    Roles are written in order; a vertex that was written before appears as its variable. Vertices named
+    after their graph get the variable that ends their name, with a number where it is taken; constants
+    lose the graph and the suffix that told them apart.
     """
     around: dict[str, list[tuple[str, str]]] = {}
     for s, r, d in sorted(set(edges)):
@@ -295,15 +299,28 @@ def write_graph(root: str, edges: list[tuple[str, str, str]], concepts: dict[str
         around.setdefault(d, []).append((turned, s))
     used: set[frozenset] = set()
     seen: set[str] = set()
+    variables: dict[str, str] = {}
+    taken: dict[str, int] = {}
+
+    def named(v: str) -> str:
+        if v not in variables:
+            tail = v.rpartition("_")[2]
+            base = tail if _VARIABLE.match(tail) else "x"
+            k = taken.get(base, 0) + 1
+            while (name := base if k == 1 else f"{base.rstrip('0123456789')}{k + 100}") in variables.values():
+                k += 1
+            taken[base], variables[v] = k, name
+        return variables[v]
 
     def walk(v: str, depth: int) -> str:
         seen.add(v)
-        parts = [f"({v} / {concepts.get(v, 'thing')}"]
+        parts = [f"({named(v)} / {concepts.get(v, 'thing')}"]
         for role, d in sorted(around.get(v, [])):
             if (pair := frozenset((v, d))) in used:
                 continue
             used.add(pair)
-            inner = d if d in seen or d.startswith('"') else walk(d, depth + 1)
+            constant = _CONSTANT.search(d)
+            inner = constant[1] if constant else named(d) if d in seen else walk(d, depth + 1)
             parts.append("\n" + "   " * (depth + 1) + f"{role} {inner}")
         return "".join(parts) + ")"
 

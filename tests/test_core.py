@@ -365,6 +365,13 @@ def test_amr_round_trip():
         amr.parse_graph("(a / b")
 
 
+def test_written_graphs_have_short_variables_and_plain_constants():
+    edges = [("bank_1.1_s", ":ARG0", "bank_1.2_s"), ("bank_1.1_s", ":quant", 'bank_1.1_"5"_2'), ("bank_1.2_s", ":mod", "odd name")]
+    text = amr.write_graph("bank_1.1_s", edges, {"bank_1.1_s": "say-01", "bank_1.2_s": "person"})
+    back = amr.parse_graph(text)
+    assert len(back.variables) == 3 and '"5"' in text and "bank" not in text and {r for _, r, _ in back.edges} == {":ARG0", ":quant", ":mod", ":instance"}
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "w.txt").write_text("a 1.5\nb x\nc 2\n")
     assert {(r.item, r.w) for r in readers.weights_file(spark, str(tmp_path / "w.txt")).collect()} == {("a", 1.5), ("c", 2.0)}
