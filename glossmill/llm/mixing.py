@@ -124,7 +124,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, path: str | None = Non
 
 
 def reached_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row a source of ``targets``: target and actual share, tokens and copies used."""
+    """One row a source of ``targets``: target and actual share, tokens and copies used.
+
+    ``used_up`` marks the source whose documents are all used max_repeats times: it sets the total, and
+    only more of its text would make the mixture larger.
+    """
     used = mixture.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"),
         F.sum("copies").alias("n_copies"),
@@ -134,4 +138,4 @@ def reached_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     total = used.agg(F.sum("mixed_tokens")).first()[0] or 0
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("mixed_tokens", "n_copies", "n_docs", "most_copies")]
     share = F.coalesce(F.col("mixed_tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("actual_share")
-    return targets.select("source", "target_share", "max_repeats").join(used, "source", "left").select("source", "target_share", "max_repeats", share, *zero)
+    return targets.select("source", "target_share", "max_repeats").join(used, "source", "left").select("source", "target_share", "max_repeats", share, *zero, F.coalesce(F.col("n_copies") == F.col("n_docs") * F.col("max_repeats"), F.lit(False)).alias("used_up"))

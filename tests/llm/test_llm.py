@@ -353,6 +353,7 @@ def test_mixture_reaches_its_shares_within_repeats(spark):
     shares = {r.source: r for r in mixing.reached_shares(mix, targets).collect()}
     assert abs(shares["a"].actual_share - 2 / 3) < 0.005 and abs(shares["b"].actual_share - 1 / 3) < 0.005 and shares["gone"].actual_share == 0
     assert shares["a"].most_copies <= 1 and shares["b"].most_copies <= 4 and mix.where("doc_id >= 5000").count() == 0
+    assert {s for s, r in shares.items() if r.used_up} <= {"a", "b"} and any(r.used_up for r in shares.values())
     more = {r.source: r for r in mixing.reached_shares(mixing.mix_sources(df, targets, total_tokens=1e9), targets).collect()}
     assert more["b"].n_copies == 4 * more["b"].n_docs
     assert mixing.mix_sources(df.limit(0), targets).count() == 0
