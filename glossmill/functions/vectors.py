@@ -26,6 +26,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, d / F.greatest(n, d))
 
 
+def unit(a: Column) -> Column:
+    """The vector by its norm; null for a zero or missing vector."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x / n))
+
+
+def unit_dot(a: Column, b: Column) -> Column:
+    """Cosine of two unit vectors, never above 1; null if either is missing."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(dot(a, b), F.lit(1.0)))
+
+
 def item_similarity(id_a: Column, id_b: Column, a: Column, b: Column) -> Column:
     """1 for the same item, even without a vector; null if either vector is missing."""
     return F.when(id_a == id_b, F.lit(1.0)).otherwise(cosine(a, b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import gloss_tokens, is_content_word
-from glossmill.functions.vectors import cosine, doubles, scale
+from glossmill.functions.vectors import doubles, scale, unit, unit_dot
 
 
 def context_tokens(tokens: DataFrame, min_freq: int = 3, words: frozenset[str] | None = None) -> DataFrame:
@@ -79,11 +79,14 @@ def inverse_weights(items: DataFrame, weights: DataFrame) -> DataFrame:
 def context_weights(candidates: DataFrame, contexts: DataFrame, meanings: DataFrame) -> DataFrame:
     """(doc_id, ref, w): similarity of each meaning's vector to its document's.
 
+    Vectors are normalised once each, so that a pair costs one sum of products.
+
     Undefined similarities are 0; if any weight of a document is negative all of its weights
     become (w + 1) / 2.
     """
     refs = candidates.select("doc_id", "ref").distinct()
-    joined = refs.join(contexts.select("doc_id", F.col("vec").alias("_c")), "doc_id", "left").join(meanings.select("ref", doubles(F.col("vec")).alias("_m")), "ref", "left")
-    raw = joined.select("doc_id", "ref", F.coalesce(cosine(F.col("_c"), F.col("_m")), F.lit(0.0)).alias("w"))
+    joined = refs.join(contexts.select("doc_id", unit(doubles(F.col("vec"))).alias("_c")), "doc_id", "left").join(meanings.select("ref", unit(doubles(F.col("vec"))).alias("_m")), "ref", "left")
+    alike = unit_dot(F.col("_c"), F.col("_m"))
+    raw = joined.select("doc_id", "ref", F.coalesce(alike, F.lit(0.0)).alias("w"))
     least = F.min("w").over(Window.partitionBy("doc_id"))
     return raw.withColumn("_l", least).select("doc_id", "ref", F.when(F.col("_l") < 0, (F.col("w") + 1) / 2).otherwise(F.col("w")).alias("w"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,19 @@ def power_iteration(r: np.ndarray, steps: int = MAX_STEPS, epsilon: float | None
 def unit_rows(vectors: list) -> np.ndarray:
     """Vectors by their norm; zeros for missing and zero ones."""
     dims = next((len(v) for v in vectors if v is not None), 1)
-    v = np.array([np.zeros(dims) if x is None else np.asarray(x, dtype=float) for x in vectors]).reshape(len(vectors), dims)
+    return _by_norm(np.array([np.zeros(dims) if x is None else np.asarray(x, dtype=float) for x in vectors]).reshape(len(vectors), dims))
+
+
+def unit_columns(vectors: pa.ChunkedArray) -> np.ndarray:
+    """``unit_rows`` of a column of lists, without an object a row."""
+    lists = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    v = np.zeros((len(lists), max(int(size.max(initial=0)), 1)))
+    v[size > 0] = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(-1, v.shape[1])
+    return _by_norm(v)
+
+
+def _by_norm(v: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(v, axis=1)
     return np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0)
 
@@ -118,7 +132,11 @@ def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, thr
 
 def stored_entries(vectors: list, groups: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and values of ``similarity_matrix`` that are not 0, in the order of rows and columns."""
-    v, codes = unit_rows(vectors), pd.factorize(pd.Series(groups, dtype=object))[0]
+    return entries_of(unit_rows(vectors), pd.factorize(pd.Series(groups, dtype=object))[0], threshold)
+
+
+def entries_of(v: np.ndarray, codes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``stored_entries`` of unit vectors and group numbers."""
     i, j, s = linked(v, v, codes, codes, threshold)
     if threshold <= 1:
         every = np.arange(len(v))
@@ -232,24 +250,26 @@ def ranking_input(candidates: DataFrame, weights: DataFrame, meanings: DataFrame
     return grouped.join(weights, ["doc_id", "ref"], "left").join(vec, "ref", "left").select("doc_id", "ref", "first", F.coalesce("w", F.lit(0.0)).alias("w"), "ms", "vec")
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("ref", kind="stable").reset_index(drop=True)
+def _ordered(rows: pa.Table, threshold: float) -> tuple[pa.Table, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of a document by meaning, and their stored entries."""
+    p = rows.sort_by("ref")
+    codes = p.column("ms").combine_chunks().dictionary_encode().indices.to_numpy()
+    return p, entries_of(unit_columns(p.column("vec")), codes, threshold)
 
 
 def rank_meanings(rows: DataFrame, options: Options = Options(), steps: int = MAX_STEPS, epsilon: float | None = None, large: DataFrame | None = None) -> DataFrame:
     """(doc_id, ref, rank) from ``ranking_input``; the documents of ``large``, from ``large_documents``, are split."""
     doc, ref = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "ref"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _ordered(pdf)
-        i, j, s = stored_entries(list(p["vec"]), list(p["ms"]), options.sim_threshold)
+    def run(table: pa.Table) -> pa.Table:
+        p, (i, j, s) = _ordered(table, options.sim_threshold)
         fill, sums = filled_rows(len(p), i, s)
         over = np.divide(1.0, sums, out=np.zeros_like(sums), where=sums > 0)
-        ranks = sparse_iteration(bias(p["w"].to_numpy(dtype=float)), i, j, (s - fill) * over[i], fill * over, options.damping_meanings, options.personalised, steps, epsilon)
-        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy(dtype=object), "ref": p["ref"].to_numpy(dtype=object), "rank": ranks})
+        ranks = sparse_iteration(bias(p.column("w").to_numpy()), i, j, (s - fill) * over[i], fill * over, options.damping_meanings, options.personalised, steps, epsilon)
+        return pa.table({"doc_id": p.column("doc_id"), "ref": p.column("ref"), "rank": ranks})
 
-    whole, split = _both_ways(rows, large)
-    out = whole.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, ref {ref}, rank double")
+    whole, split = _both_ways(rows.select("doc_id", "ref", "w", "ms", "vec"), large)
+    out = whole.groupBy("doc_id").applyInArrow(run, f"doc_id {doc}, ref {ref}, rank double")
     if split is None:
         return out
     entries = cut_lineage(split_entries(split, options.sim_threshold))
@@ -273,21 +293,22 @@ def similarity_entries(rows: DataFrame, threshold: float, stage: str = "threshol
     """
     doc, ref = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "ref"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _ordered(pdf)
-        n = len(p)
-        i, j, s = stored_entries(list(p["vec"]), list(p["ms"]), threshold)
-        refs = p["ref"].to_numpy(dtype=object)
+    def run(table: pa.Table) -> pa.Table:
+        p, (i, j, s) = _ordered(table, threshold)
+        n, refs = len(p), p.column("ref").combine_chunks()
         fill, sums = filled_rows(n, i, s)
         over = np.divide(1.0, sums, out=np.zeros_like(sums), where=sums > 0) if stage == "normalised" else np.ones(n)
-        out = pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]] * len(i), "a": refs[i], "b": refs[j], "value": s * over[i]})
+        a, b, value = refs.take(pa.array(i)), refs.take(pa.array(j)), s * over[i]
         if stage != "thresholded":
-            open_ = np.bincount(i, minlength=n) < n
-            more = pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]] * int(open_.sum()), "a": refs[open_], "b": [None] * int(open_.sum()), "value": (fill * over)[open_]})
-            out = pd.concat([out, more], ignore_index=True)
-        return out
-
-    return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {doc}, a {ref}, b {ref}, value double")
+            open_ = np.flatnonzero(np.bincount(i, minlength=n) < n)
+            a = pa.concat_arrays([a, refs.take(pa.array(open_))])
+            b = pa.concat_arrays([b, pa.nulls(len(open_), refs.type)])
+            value = np.concatenate([value, (fill * over)[open_]])
+        one = p.column("doc_id").combine_chunks()
+        return pa.table({"doc_id": one.take(pa.array(np.zeros(len(a), dtype=np.int64))), "a": a, "b": b, "value": value})
+
+    kept = rows.select("doc_id", "ref", "ms", "vec")
+    return kept.groupBy("doc_id").applyInArrow(run, f"doc_id {doc}, a {ref}, b {ref}, value double")
 
 
 def meanings_bias(rows: DataFrame) -> DataFrame:
