@@ -82,8 +82,9 @@ _NUMBERED = regex.compile(r"[\W_]*(?:\p{L}+\s+)?\d+(?:\.\d+)*\.(?=\s)")
 _SINGLE_CLOSE = regex.compile(r"[.,!?…]'(?![\p{L}\p{N}])")
 _NOTE = regex.compile(r"\[\d{1,4}\]")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.\-']+\Z")
-#: A line that is an item of a list: its indent, then a number, a letter or a bullet.
-_ITEM = regex.compile(rf"(?:(?<={_LINE_END})|\A|(?<=\u2029))(?P<indent>[^\S\n\r\u0085\u2028]*)(?:(?P<number>\d{{1,4}}|[a-z])(?P<end>[.)])|(?P<bullet>[-*•‣◦·]))[^\S\n\r\u0085\u2028]+(?=\S)")
+#: The beginning of a line that is an item of a list: its indent, then a number, a letter or a bullet.
+_ITEM = regex.compile(r"(?P<indent>[^\S\n\r\u0085\u2028]*)(?:(?P<number>\d{1,4}|[a-z])(?P<end>[.)])|(?P<bullet>[-*•‣◦·]))[^\S\n\r\u0085\u2028]+(?=\S)")
+_BREAK = regex.compile(_LINE_END)
 
 
 def speaker_pattern(verbs: dict[str, str] = SPEECH) -> regex.Pattern:
@@ -166,7 +167,10 @@ class Automaton:
         """
         levels: list[list] = []  # kind, value, the places of the items, indent
         every: list[list] = []
-        for m in _ITEM.finditer(self.text, start, stop):
+        for line in (start, *(m.end() for m in _BREAK.finditer(self.text, start, stop))):
+            m = _ITEM.match(self.text, line, stop)
+            if not m:
+                continue
             number, indent = m["number"], m["indent"]
             if number:
                 value = int(number) if number.isdigit() else ord(number) - 96
@@ -202,8 +206,7 @@ class Automaton:
         heading = mark
         if mark < 0 and text[stop - 1] not in ".!?…" + ALWAYS and (m := _NUMBERED.match(text, begin, stop)):
             heading = m.end() - 1
-        self.ends_at = {c: max(text.rfind(x, begin, stop) for x in xs) for c, xs in CLOSER_OF.items()}
-        self.ends_at["'"] = max((m.end() - 1 for m in _SINGLE_CLOSE.finditer(text, begin, stop)), default=-1)
+        self.ends_at, self.span = {}, (begin, stop)
         out: list[tuple[int, int]] = []
         signs: set[int] = set()
         at, done = begin, begin  # marks before ``done`` are part of what was read
@@ -280,7 +283,16 @@ class Automaton:
             return False
         if c == '"' and before.isalnum() and i + 1 < stop and text[i + 1].isspace():
             return False
-        return self.ends_at[c] > i or self.cut_off(c, i, stop)
+        return self.last_closing(c) > i or self.cut_off(c, i, stop)
+
+    def last_closing(self, c: str) -> int:
+        """The last place in the paragraph that may close ``c``, looked up once."""
+        if c not in self.ends_at:
+            if c == "'":
+                self.ends_at[c] = max((m.end() - 1 for m in _SINGLE_CLOSE.finditer(self.text, *self.span)), default=-1)
+            else:
+                self.ends_at[c] = max(self.text.rfind(x, *self.span) for x in CLOSER_OF[c])
+        return self.ends_at[c]
 
     def cut_off(self, c: str, i: int, stop: int) -> bool:
         """Whether the text is cut off within the speech that ``c`` opens: it ends in its last paragraph without an end mark."""
