@@ -294,7 +294,7 @@ SQL: dict[str, str] = {
     "meaning_frequencies": build("select ref, count(*) as n, count(distinct doc_id) as docs from ann group by all", "ann"),
     "form_frequencies": build("select form, count(*) as n from ann group by all", "ann"),
     "annotation_counts": r"select form, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(text, '\(([a-z]+[0-9]*) / ([^\s()]+)', 2)) as form from documents where text is not null) group by all",
-    "coverage": build(f"select doc_id, count(*) as n_tokens, count(p) as covered, count_if(coalesce(multi, false)) as covered_by_multiword, round(avg(p), 6) as polysemy from pl left join (select doc_id, sent_id, i, avg(1 + {h('lemma')} % 3) as p, max((r - l > 1)::int) = 1 as multi from (select *, unnest(range(l, r)) as i from spn) group by all) using (doc_id, sent_id, i) group by all", "tok", "spn").replace("\nselect doc_id, count", ",\npl as materialized (select doc_id, sent_id, i from tok)\nselect doc_id, count", 1),
+    "coverage": build(f"select doc_id, count(*) as n_tokens, count(p) as covered, count_if(coalesce(multi, false)) as covered_by_multiword, round(avg(p) + 1e-9, 6) as polysemy from pl left join (select doc_id, sent_id, i, avg(1 + {h('lemma')} % 3) as p, max((r - l > 1)::int) = 1 as multi from (select *, unnest(range(l, r)) as i from spn) group by all) using (doc_id, sent_id, i) group by all", "tok", "spn").replace("\nselect doc_id, count", ",\npl as materialized (select doc_id, sent_id, i from tok)\nselect doc_id, count", 1),
     "similarity_stats": build("select doc_id, n_meanings, n_meanings * (n_meanings - 1) // 2 as n_pairs, coalesce(n_similar, 0) as n_similar, round(mean, 6) as mean from (select doc_id, count(*) as n_meanings from refs group by all) left join (select doc_id, count(*) as n_similar, avg(value) as mean from ent where a < b group by all) using (doc_id)", "ent", "refs"),
     "text_statistics": f"select source, count(x) as n, {_STATS} from (select source, n_chars::double as x from documents) group by all",
     "entity_counts": build(f"select ner, count(*) as n_mentions, sum(r - l)::bigint as n_tokens, count(distinct doc_id) as n_docs from (select *, (['LOC', 'PER', '', ''])[{h('form')} % 4 + 1] as ner from spn) where ner <> '' group by all", "spn"),
