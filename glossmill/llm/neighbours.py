@@ -45,7 +45,7 @@ LIST_SIZE = 1024
 MAX_LISTS = 8192
 #: Lists that hold a vector, lists it searches, and how much farther than the nearest they may be; cells of a vector on two levels.
 REPLICAS, PROBES, RATIO = 4, 4, 1.3
-CELLS = 2
+CELLS = 3
 BLOCK = 8192
 #: Links of a centroid in the graph, best-first beam, centroids expanded a step, and steps.
 LINKS, BEAM, EXPAND, HOPS = 24, 32, 4, 8
