@@ -82,6 +82,16 @@ def test_term_frequencies_of_hot_texts_and_heavy_points(spark, monkeypatch):
     assert {tuple(r) for r in weights.term_weights(df).collect()} == want and len(want) == len(plain)
 
 
+@pytest.mark.parametrize("share", [weights.HEAVY_SHARE, 0, 1.1])
+def test_pairs_are_counted_without_a_mixture(spark, monkeypatch, share):
+    monkeypatch.setattr(weights, "_scored", None)
+    monkeypatch.setattr(weights, "HEAVY_SHARE", share)
+    texts = {f"t{i}": ["the"] * (i % 7) + ["five"] * 4 * (i < 5) + ["six"] * 4 * (i < 6) + ["", None] * 4 for i in range(40)}
+    texts |= {"long": ["burst"] * 200, "short": ["burst"] * 4 + ["three"] * 3, None: ["lost"] * 9}
+    got = sorted(tuple(r) for r in weights.distinctive_pairs(tokens_of(spark, texts).repartition(3)).collect())
+    assert got == sorted([("long", "burst"), ("short", "burst")] + [(f"t{i}", "five") for i in range(5)])
+
+
 # --- p5 -----------------------------------------------------------------------------------------
 
 
