@@ -14,6 +14,7 @@ from glossmill.functions.text import hash28, is_content_word
 from glossmill.operators import candidates as C
 from glossmill.operators import context as X
 from glossmill.operators import spans as S
+from glossmill.plans import documents
 from glossmill.plans.disambiguation import Inputs
 from glossmill.sources.readers import surrogate_dictionary
 
@@ -28,10 +29,20 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
     A repeated row has the same content, so grouping by all columns counts a token once, by hashing alone.
     """
-    columns = ["text_id", "sent_id", "tok_idx", "wf", "lemma", "pos"]
-    rows = table(spark, d, "tokens").where("tok_id is not null and text_id is not null").groupBy("tok_id", *columns).agg(F.lit(1).alias("one"))
-    form = F.coalesce("wf", F.lit(""))
-    return rows.select(F.col("text_id").alias("doc_id"), "sent_id", F.col("tok_idx").alias("i"), form.alias("form"), F.coalesce(F.nullif("lemma", F.lit("")), form).alias("lemma"), F.coalesce("pos", F.lit("X")).alias("pos"))
+    return once(token_rows(spark, d))
+
+
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(tok_id, doc_id, sent_id, i, form, lemma, pos): the rows of tokens as they are, those without id or text left out."""
+    rows = table(spark, d, "tokens").where("tok_id is not null and text_id is not null")
+    return rows.select("tok_id", F.col("text_id").alias("doc_id"), "sent_id", F.col("tok_idx").alias("i"), F.col("wf").alias("form"), "lemma", "pos")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """``tokens`` of the rows given."""
+    kept = rows.groupBy(*rows.columns).agg(F.lit(1).alias("one"))
+    form = F.coalesce("form", F.lit(""))
+    return kept.select("doc_id", "sent_id", "i", form.alias("form"), F.coalesce(F.nullif("lemma", F.lit("")), form).alias("lemma"), F.coalesce("pos", F.lit("X")).alias("pos"))
 
 
 def n_refs(spark: SparkSession, d: str) -> int:
@@ -54,20 +65,20 @@ def word_vectors(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
     return keyed.join(meanings(spark, d).select("ref", "vec"), "ref").select("item", "vec")
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    """Content words as mentions of one token: (doc_id, sent_id, i, mention_id, form, lemma, pos)."""
-    t = tokens(spark, d)
+def words(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    """Content words, of all tokens or of ``t``, as mentions of one token: (doc_id, sent_id, i, mention_id, form, lemma, pos)."""
+    t = tokens(spark, d) if t is None else t
     kept = t.where(is_content_word(F.col("form")) & (F.col("pos") != "X"))
     return kept.withColumn("mention_id", F.format_string("%s_%03d-%03d", "sent_id", "i", F.col("i") + 1))
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, mention_id, ref, ord) of the content words.
+def candidates(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    """(doc_id, mention_id, ref, ord) of the content words, of all tokens or of ``t``.
 
     The words are read four times below, so they are written once to the shared folder, instead of
     reading and counting the tokens once each time; so are the candidates, for the plans above.
     """
-    w = cut_lineage(words(spark, d).select("doc_id", "mention_id", "form", "lemma"))
+    w = cut_lineage(words(spark, d, t).select("doc_id", "mention_id", "form", "lemma"))
     keys = w.select(F.col("lemma")).unionByName(w.select(F.col("form").alias("lemma")))
     return cut_lineage(C.lookup(w, dictionary(spark, d, keys)))
 
@@ -111,14 +122,24 @@ def weighted_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).select("doc_id", "sent_id", "l", "r", (hash28(F.col("form")) % 1000).alias("w"))
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(key, refs): a sense of each content word by hash, the key being the mention."""
+def gold(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    """(key, refs): a sense of each content word by hash, the key being the mention; of all tokens or of ``t``."""
     n = n_refs(spark, d)
-    w = words(spark, d)
+    w = words(spark, d, t)
     k = hash28(F.concat("form", F.lit("g"))) % SENSES
     return w.select(F.col("mention_id").alias("key"), F.array(F.pmod(hash28(F.col("lemma")) + 37 * k, F.lit(n))).alias("refs"))
 
 
+def gold_of(code, n: int, form: str, lemma: str) -> int:
+    """``gold`` of one word; ``code`` is the hash of a word."""
+    return (code(lemma) + 37 * (code(form + "g") % SENSES)) % n
+
+
+def senses(spark: SparkSession, d: str) -> documents.Senses | None:
+    """``dictionary``, ``meanings`` and ``word_vectors`` as a task holds them; None where there are too many meanings."""
+    return documents.senses_of(n_refs(spark, d), meanings(spark, d), SENSES)
+
+
 def bank_senses(spark: SparkSession, d: str):
     """Dictionary, meanings and word vectors for the tokens and mentions of banks."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from glossmill.operators import ranking as R
 from glossmill.operators import rejects, shredding
 from glossmill.operators import spans as S
 from glossmill.options import Options
+from glossmill.plans import documents as D
 from glossmill.plans import fixtures as X0
 from glossmill.plans import summary
 from glossmill.sources import amr, readers, sinks
@@ -339,10 +341,10 @@ def rank_meanings(spark, d):
     return E.rank_list(_ranked(spark, d)).select("doc_id", "ref", r6("rank").alias("rank"), "k")
 
 
-def _mention_inputs(spark, d):
+def _mention_inputs(spark, d, t=None):
     from glossmill.plans.disambiguation import Inputs
 
-    t = X0.tokens(spark, d)
+    t = X0.tokens(spark, d) if t is None else t
     found = S.mentions(t, 2, ("X",))
     keys = found.select("lemma").unionByName(found.select(F.col("form").alias("lemma")))
     items = t.select(F.col("form").alias("item"))
@@ -352,6 +354,18 @@ def _mention_inputs(spark, d):
 MENTION_OPTIONS = Options(sim_threshold=THRESHOLD, max_span=2, excluded_pos=("X",), min_context_freq=2, context_threshold=0.6)
 
 
+def _by_document(spark, d):
+    """Records of the documents that a task holds whole, the senses for them, and the tokens of all other documents or None.
+
+    No records if there are too many meanings for a task.
+    """
+    senses, rows = X0.senses(spark, d), X0.token_rows(spark, d)
+    if senses is None:
+        return None, None, X0.once(rows)
+    apart = D.documents_apart(rows)
+    return D.packed(rows, apart), senses, None if apart is None else cut_lineage(X0.once(rows.join(apart, "doc_id", "left_semi")))
+
+
 @query
 def disambiguated_mentions(spark, d):
     from glossmill.plans.disambiguation import disambiguate
@@ -505,6 +519,13 @@ def system_scores(spark, d):
     return out
 
 
+def _scores(spark, sums, by, every):
+    """Scores of the documents of all ``sums(by, s, n, g)`` together; nulls for one of ``every`` that has no documents."""
+    none = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in every])).alias(by), *[F.lit(0).alias(c) for c in ("s", "n", "g")])
+    total = reduce(DataFrame.unionByName, sums, none).groupBy(by).agg(*[F.sum(c).alias(c) for c in ("s", "n", "g")])
+    return E.scores(total, by).select(by, *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def _scores_system(spark, d):
     return C.choose_first(X0.candidates(spark, d)).select(F.col("mention_id").alias("key"), "ref")
 
@@ -522,12 +543,17 @@ def similarity_sweep(spark, d):
     from glossmill.plans.disambiguation import sweep_similarity
 
     levels = [k / 10 for k in range(11)]
-    chosen = cut_lineage(sweep_similarity(_mention_inputs(spark, d), MENTION_OPTIONS, levels).select("threshold", F.col("mention_id").alias("key"), "ref"))
-    gold, out = cut_lineage(X0.gold(spark, d)), None
-    for t in levels:
-        one = E.precision_recall(chosen.where(F.col("threshold") == t), gold).select(F.lit(t).alias("threshold"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
-        out = one if out is None else out.unionByName(one)
-    return out
+    records, senses, rest = _by_document(spark, d)
+    out = []
+    if records is not None:
+        sums = D.scored(records, senses, MENTION_OPTIONS, levels, X0.gold_of).where("place >= 0")
+        out.append(sums.select(F.element_at(F.array(*[F.lit(t) for t in levels]), F.col("place") + 1).alias("threshold"), "s", "n", "g"))
+    if rest is not None:
+        chosen = cut_lineage(sweep_similarity(_mention_inputs(spark, d, rest), MENTION_OPTIONS, levels).select("threshold", F.col("mention_id").alias("key"), "ref"))
+        gold = cut_lineage(X0.gold(spark, d, rest))
+        for t in levels:
+            out.append(E.answer_sums(chosen.where(F.col("threshold") == t), gold).select(F.lit(t).alias("threshold"), "s", "n", "g"))
+    return _scores(spark, out, "threshold", levels)
 
 
 @query
