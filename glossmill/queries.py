@@ -370,7 +370,11 @@ def _by_document(spark, d):
 def disambiguated_mentions(spark, d):
     from glossmill.plans.disambiguation import disambiguate
 
-    return disambiguate(_mention_inputs(spark, d), MENTION_OPTIONS).select("doc_id", "mention_id", "ref")
+    records, senses, rest = _by_document(spark, d)
+    out = [] if records is None else [D.disambiguate(records, senses, MENTION_OPTIONS)]
+    if rest is not None:
+        out.append(disambiguate(_mention_inputs(spark, d, rest), MENTION_OPTIONS).select("doc_id", "mention_id", "ref"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query

@@ -86,3 +86,12 @@ def test_the_sweep_shuffles_less_than_its_input(spark, tmp_path):
     assert records.agg(F.sum(F.length("tokens"))).first()[0] < os.path.getsize(f"{SF}/tokens.parquet") * 1.2
     plan = queries.QUERIES["similarity_sweep"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "ExistingRDD" not in plan and "Join" not in plan
+
+
+def test_disambiguated_mentions_are_those_of_the_plan_of_dataframes(spark, data, cooler):
+    query = queries.QUERIES["disambiguated_mentions"]
+    want = disambiguation.disambiguate(queries._mention_inputs(spark, data), queries.MENTION_OPTIONS).select("doc_id", "mention_id", "ref")
+    got = query(spark, data)
+    assert rows(got) == rows(want) and ODD < {r.doc_id for r in got.select("doc_id").distinct().collect()}
+    plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1 and "ExistingRDD" not in plan and "Join" not in plan
