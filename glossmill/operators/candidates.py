@@ -80,7 +80,8 @@ def choose_random(candidates: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def choose_first(candidates: DataFrame) -> DataFrame:
-    return _pick(candidates, F.col("ord"))
+    """The first sense, the least meaning where two words are one mention."""
+    return _pick(candidates, F.col("ord"), F.col("ref"))
 
 
 def choose_top(candidates: DataFrame, weight: str) -> DataFrame:

@@ -514,13 +514,17 @@ def wsd_scores(spark, d):
 @query
 def system_scores(spark, d):
     """Scores of the first sense and of the ranked choice, over all of their answers."""
-    first = C.choose_first(X0.candidates(spark, d))
-    ranked, out = QUERIES["disambiguated_mentions"](spark, d), None
-    for name, chosen in (("first", first), ("ranked", ranked)):
-        s = E.precision_recall(chosen.select(F.col("mention_id").alias("key"), "ref"), X0.gold(spark, d))
-        s = s.select(F.lit(name).alias("system"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
-        out = s if out is None else out.unionByName(s)
-    return out
+    from glossmill.plans.disambiguation import disambiguate
+
+    records, senses, rest = _by_document(spark, d)
+    name = F.when(F.col("place") < 0, "first").otherwise("ranked").alias("system")
+    out = [] if records is None else [D.scored(records, senses, MENTION_OPTIONS, [THRESHOLD], X0.gold_of, with_first=True).select(name, "s", "n", "g")]
+    if rest is not None:
+        gold = cut_lineage(X0.gold(spark, d, rest))
+        ranked = disambiguate(_mention_inputs(spark, d, rest), MENTION_OPTIONS)
+        for system, chosen in (("first", C.choose_first(X0.candidates(spark, d, rest))), ("ranked", ranked)):
+            out.append(E.answer_sums(chosen.select(F.col("mention_id").alias("key"), "ref"), gold).select(F.lit(system).alias("system"), "s", "n", "g"))
+    return _scores(spark, out, "system", ["first", "ranked"])
 
 
 def _scores(spark, sums, by, every):

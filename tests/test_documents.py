@@ -95,3 +95,24 @@ def test_disambiguated_mentions_are_those_of_the_plan_of_dataframes(spark, data,
     assert rows(got) == rows(want) and ODD < {r.doc_id for r in got.select("doc_id").distinct().collect()}
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "ExistingRDD" not in plan and "Join" not in plan
+
+
+def test_system_scores_are_those_of_the_choices(spark, data, cooler):
+    from glossmill.operators import candidates as C
+
+    got = {r.system: tuple(r)[1:] for r in queries.QUERIES["system_scores"](spark, data).collect()}
+    gold = X0.gold(spark, data).cache()
+    ranked = disambiguation.disambiguate(queries._mention_inputs(spark, data), queries.MENTION_OPTIONS)
+    for system, chosen in (("first", C.choose_first(X0.candidates(spark, data))), ("ranked", ranked)):
+        want = E.precision_recall(chosen.select(F.col("mention_id").alias("key"), "ref"), gold).first()
+        assert got[system] == pytest.approx(tuple(want), abs=1e-6)
+    plan = queries.QUERIES["system_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1 and "ExistingRDD" not in plan and "Join" not in plan
+
+
+def test_scores_without_documents_are_null(spark, tmp_path):
+    os.symlink(f"{SF}/embeddings.parquet", f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet(f"{SF}/tokens.parquet").limit(0).write.parquet(f"{tmp_path}/tokens.parquet")
+    for name, n in (("system_scores", 2), ("similarity_sweep", 11)):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == n and all(r.precision is None and r.recall is None and r.f1 is None for r in got)
